@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, license_scan, line_dedup, near_dedup, packing, token_counts, token_files
+from . import decontamination, exact_dedup, license_scan, line_dedup, near_dedup, packing, quality, substring_dedup, token_counts, token_files
 from .common import new_path, table
 
 
@@ -38,10 +38,21 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), digest="all")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return quality.classify(table(spark, sf_dir, "documents"), trusted)
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -56,7 +67,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_token_files, op2_decontamination, op3_packing, op4_exact_dedup, op6_near_dedup, op8_license_scan, op9_line_dedup, op10_token_counts)
+    named = (op1_token_files, op2_decontamination, op3_packing, op4_exact_dedup, op5_quality, op6_near_dedup, op7_substring_dedup, op8_license_scan, op9_line_dedup, op10_token_counts)
     return {f.__name__: f for f in named}
 
 
