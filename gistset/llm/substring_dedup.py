@@ -9,7 +9,6 @@ and go nowhere; each shard indexes the others' distinct texts.
 from __future__ import annotations
 
 import gc
-import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -45,19 +44,47 @@ def names(raw: np.ndarray, width: int, gram: int = GRAM) -> np.ndarray:
     return np.minimum(h[: len(h) - (left - span)], h[left - span :]) if left > span else h
 
 
-def pieces(raw: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(name, first window, number of windows) of the document's pieces, in order."""
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    base = 0x9E3779B97F4A7C15
+    with np.errstate(over="ignore"):
+        up = np.cumprod(np.full(n, base, np.uint64)) if n else np.zeros(0, np.uint64)
+        down = np.cumprod(np.full(n, pow(base, -1, 1 << 64), np.uint64)) if n else np.zeros(0, np.uint64)
+    return up, down
+
+
+def pieces(raws: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, name, content hash, first window, number of windows) of the pieces of documents, in order."""
+    sizes = np.array([len(r) for r in raws], np.int64)
+    raw = np.frombuffer(b"".join(raws), np.uint8)
     h = names(raw, width)
+    none = np.zeros(0, np.int64)
     if not len(h):
-        return h, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    n = np.diff(np.append(begin, len(h)))
+        return none, h, none, none, none
+    stop = np.cumsum(sizes)
+    valid = np.zeros(len(raw) + 1, np.int8)  # a window starts in its document and ends in it
+    valid[(stop - sizes)[sizes >= width]] += 1
+    np.subtract.at(valid, (stop - width + 1)[sizes >= width], 1)
+    valid = np.cumsum(valid)[: len(h)].astype(bool)
+    fresh = np.concatenate([[True], h[1:] != h[:-1]])
+    fresh[(stop - sizes)[(sizes >= width)]] = True
+    begin = np.flatnonzero(fresh & valid)
+    edge = np.flatnonzero(fresh | ~valid)
+    after = np.append(edge, len(h))[np.searchsorted(edge, begin, "right")]
+    n = after - begin
     cuts = -(-n // _MOST)
     if (cuts > 1).any():
         at = np.repeat(np.arange(len(n)), cuts)
         step = (np.arange(len(at)) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * _MOST
         begin, n = begin[at] + step, np.minimum(_MOST, n[at] - step)
-    return h[begin], begin, n
+    doc = np.searchsorted(stop, begin, "right")
+    x = raw.astype(np.uint64)
+    for half in (1, 2, 4):
+        x = x[:-half] | (x[half:] << np.uint64(8 * half))
+    up, down = _powers(len(x))
+    with np.errstate(over="ignore"):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(x) * up, dtype=np.uint64)])
+        content = mix((total[begin + n + width - 8] - total[begin]) * down[begin] + n.astype(np.uint64))
+    return doc, h[begin], content.view(np.int64), begin - (stop - sizes)[doc], n
 
 
 class RunLengthIndex:
@@ -86,15 +113,22 @@ class RunLengthIndex:
         self.bounds = self._bounds(order)
         self.position = order
 
-    @staticmethod
-    def _sorted(text: np.ndarray) -> np.ndarray:
+    def _sorted(self, text: np.ndarray) -> np.ndarray:
         """Suffix order by prefix doubling; only suffixes that still tie are sorted again."""
-        n = len(text)
-        _, rank = np.unique(text, return_inverse=True)
-        rank = rank.astype(np.int64)
-        order, width = np.argsort(rank, kind="stable"), 1
-        key = rank[order]
-        first = np.concatenate([[True], key[1:] != key[:-1]])
+        # the first seven signs in one number, 0 from a text's end on; suffixes that end there order by their end sign
+        n, n_texts = len(text), self.n_texts
+        letter = np.where(text < n_texts, 0, text - n_texts + 1)
+        ended, key, end = np.zeros(n, bool), np.zeros(n, np.int64), np.full(n, -1, np.int64)
+        for j in range(7):
+            at = np.minimum(np.arange(j, n + j), n - 1)
+            stop = ~ended & (letter[at] == 0)
+            end[stop] = text[at][stop]
+            ended |= stop
+            key = (key << 9) | np.where(ended, 0, letter[at])
+        order, width = np.lexsort((end, key)), 7
+        key, end = key[order], end[order]
+        first = np.concatenate([[True], (key[1:] != key[:-1]) | (end[1:] != end[:-1])])
+        rank = np.empty(n, np.int64)
         rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
         while True:
             tied = ~first
@@ -175,63 +209,108 @@ def _collected(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def repeated_spans(docs: DataFrame, width: int = 50, hot_texts: int = HOT_TEXTS) -> DataFrame:
-    """Of documents ``k, t`` with distinct texts: ``k, spans``, runs (first, last) of windows that a smaller ``k`` holds too."""
+def repeated_spans(docs: DataFrame, total_bytes: int, width: int = 50, hot_texts: int = HOT_TEXTS) -> DataFrame:
+    """Of documents ``k, t`` with distinct texts of about ``total_bytes``: ``k, spans``, runs (first, last) of windows that a smaller ``k`` holds too."""
     spark = docs.sparkSession
 
-    def bytes_of(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
-        for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            raw = t.encode("utf-8", "surrogatepass")
-            if len(raw) >= width:
-                yield k, raw
+    def read(batches: Iterable[pa.RecordBatch]):
+        """(ids, bytes) of documents, about half a megabyte at a time."""
+        for batch in slices(batches, "t", 1 << 19):
+            ks, ts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            yield ks, [t.encode("utf-8", "surrogatepass") for t in ts]
+
+    bucket_bits = min(_FILTER_BITS - 3, max(4, int(total_bytes >> 22).bit_length()))
+    low_bits, shift = np.uint64((1 << _FILTER_BITS) - 1), np.uint64(_FILTER_BITS - bucket_bits)
+
+    def name_blobs(batches: Iterable[pa.RecordBatch]):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush():
+            m, k = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            part = ((m & low_bits) >> shift).astype(np.int64)
+            by = np.lexsort((k, m, part))
+            m, k, part = m[by], k[by], part[by]
+            first = np.concatenate([[True], m[1:] != m[:-1]])
+            last = np.concatenate([m[1:] != m[:-1], [True]])
+            on = first | last  # of one name here only its smallest and largest id matter
+            m, k, part = m[on], k[on], part[on]
+            cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            ends = np.append(cut[1:], len(part)).tolist()
+            blobs = [m[a:b].tobytes() + k[a:b].tobytes() for a, b in zip(cut.tolist(), ends, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(part[cut]), pa.array(blobs, pa.binary())], ["part", "blob"])
+
+        for ks, raws in read(batches):
+            doc, m, *_ = pieces(raws, width)
+            held.append((m, ks[doc]))
+            if sum(len(m) for m, _ in held) > 1_000_000:
+                yield flush()
+        if any(len(m) for m, _ in held):
+            yield flush()
+
+    def shared_names(key: tuple, blobs: pa.Table) -> pa.Table:
+        """The filter bits of names that two documents or more hold."""
+        raw = [np.frombuffer(x, np.uint64).reshape(2, -1) for x in blobs.column("blob").to_pylist()]
+        m, k = np.concatenate([x[0] for x in raw]), np.concatenate([x[1] for x in raw])
+        by = np.lexsort((k, m))
+        m, k = m[by], k[by]
+        twice = np.flatnonzero((m[1:] == m[:-1]) & (k[1:] != k[:-1]))
+        bits = np.zeros(1 << (_FILTER_BITS - bucket_bits), np.uint8)
+        bits[(m[twice] & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    def bloom(found: list) -> bytes:
+        step = 1 << (_FILTER_BITS - bucket_bits - 3)
+        table = np.zeros(1 << (_FILTER_BITS - 3), np.uint8)
+        for r in found:
+            table[r["part"] * step : (r["part"] + 1) * step] |= np.frombuffer(bytes(r["bits"]), np.uint8)
+        return table.tobytes()
 
-    def name_rows(batches: Iterable[pa.RecordBatch]):
-        for batch in slices(batches, "t"):
-            each = [(k, np.unique(pieces(np.frombuffer(raw, np.uint8), width)[0])) for k, raw in bytes_of(batch)]
-            if each:
-                m = np.concatenate([x for _, x in each])
-                k = np.repeat(np.array([k for k, _ in each], np.int64), [len(x) for _, x in each])
-                by = np.lexsort((k, m))
-                m, k = m[by], k[by]
-                at = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
-                yield pa.RecordBatch.from_arrays([pa.array(m[at].view(np.int64)), pa.array(k[at]), pa.array(k[np.append(at[1:], len(k)) - 1])], ["m", "lo", "hi"])
-
-    seen = docs.mapInArrow(name_rows, "m long, lo long, hi long").groupBy("m").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
-    bit = F.col("m").bitwiseAND(F.lit((1 << _FILTER_BITS) - 1)) + 1
     # a Bloom filter of fixed size (16 MB): a false hit costs a piece, none is missed
-    bits = seen.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
-    table = np.zeros(1 << (_FILTER_BITS - 3), np.uint8)
-    for r in bits:
-        table[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    sent = spark.sparkContext.broadcast(table.tobytes())
-    del bits, table
+    blobs = docs.mapInArrow(name_blobs, "part long, blob binary")
+    sent = spark.sparkContext.broadcast(bloom(blobs.groupBy("part").applyInArrow(shared_names, "part long, bits binary").collect()))
     _collected(spark)
 
+    def hits(table: np.ndarray, m: np.ndarray) -> np.ndarray:
+        low = (m & low_bits).astype(np.int64)
+        return np.flatnonzero((table[low >> 3] >> (low & 7).astype(np.uint8)) & 1)
+
     def piece_rows(batches: Iterable[pa.RecordBatch]):
         table = np.frombuffer(sent.value, np.uint8)
-        for batch in slices(batches, "t"):
-            m, ks, at, size, texts = [], [], [], [], []
-            for k, raw in bytes_of(batch):
-                name, begin, n = pieces(np.frombuffer(raw, np.uint8), width)
-                low = (name & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)
-                on = np.flatnonzero((table[low >> 3] >> (low & 7).astype(np.uint8)) & 1)
-                m.append(name[on])
-                at.append(begin[on])
-                size.append(n[on])
-                ks += [k] * len(on)
-                texts += [raw[b : b + c + width - 1] for b, c in zip(begin[on].tolist(), n[on].tolist(), strict=True)]
-            if texts:
-                th = [int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little", signed=True) for t in texts]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(m).view(np.int64)), pa.array(th, pa.int64()), pa.array(ks, pa.int64()), pa.array(np.concatenate(at)), pa.array(np.concatenate(size).astype(np.int32)), pa.array(texts, pa.binary())], ["m", "th", "k", "at", "n", "text"])
-
-    cand = materialize(docs.mapInArrow(piece_rows, "m long, th long, k long, at long, n int, text binary"), "pieces")
-    distinct = cand.groupBy("m", "th", "text").agg(F.min("k").alias("first"), F.max("k").alias("last"))
-    distinct = materialize(distinct, "piece-texts")
-    _collected(spark)
+        for ks, raws in read(batches):
+            doc, m, th, at, n = pieces(raws, width)
+            on = hits(table, m)
+            yield pa.RecordBatch.from_arrays([pa.array(m[on].view(np.int64)), pa.array(th[on]), pa.array(ks[doc[on]]), pa.array(at[on].astype(np.int32)), pa.array(n[on].astype(np.int32))], ["m", "th", "k", "at", "n"])
+
+    cand = materialize(docs.mapInArrow(piece_rows, "m long, th long, k long, at int, n int"), "pieces")
+    distinct = materialize(cand.groupBy("m", "th").agg(F.min("k").alias("first"), F.max("k").alias("last")), "piece-texts")
     sizes = distinct.groupBy("m").agg(F.count(F.lit(1)).alias("c"), F.min("first").alias("lo"), F.max("last").alias("hi")).where("lo < hi")
-    named = distinct.join(sizes.select("m", (F.col("c") > hot_texts).alias("hot"), (F.col("c") == 1).alias("single")), "m")
-    # a name with one text needs no index: its first owner is the text's
-    several = named.where("not hot and not single").select("m", "th", "first", "text")
+    named = materialize(distinct.join(sizes.select("m", (F.col("c") > hot_texts).alias("hot"), (F.col("c") == 1).alias("single")), "m").select("m", "th", "first", "hot", "single"), "piece-names")
+    _collected(spark)
+    # a name with one text needs no index: its first owner is the text's; of the others the texts are read again
+    bit = F.col("m").bitwiseAND(F.lit((1 << _FILTER_BITS) - 1)) + 1
+    several_bits = named.where("not single").groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
+    table = np.zeros(1 << (_FILTER_BITS - 3), np.uint8)
+    for r in several_bits:
+        table[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    sent2 = spark.sparkContext.broadcast(table.tobytes())
+    del several_bits, table
+
+    def text_rows(batches: Iterable[pa.RecordBatch]):
+        table = np.frombuffer(sent2.value, np.uint8)
+        for ks, raws in read(batches):
+            doc, m, th, at, n = pieces(raws, width)
+            on = hits(table, m)
+            if len(on):
+                _, pick = np.unique(np.stack([m[on].view(np.int64), th[on]]), axis=1, return_index=True)
+                on = on[pick]  # equal pieces of one task's share once
+                texts = [raws[d][a : a + c + width - 1] for d, a, c in zip(doc[on].tolist(), at[on].tolist(), n[on].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(m[on].view(np.int64)), pa.array(th[on]), pa.array(texts, pa.binary())], ["m", "th", "text"])
+
+    texts = docs.mapInArrow(text_rows, "m long, th long, text binary").groupBy("m", "th").agg(F.min("text").alias("text"))
+    with_text = materialize(texts.join(named.where("not single").select("m", "th", "first", "hot"), ["m", "th"]), "piece-contents")
+    several = with_text.where("not hot").select("m", "th", "first", "text")
+    _collected(spark)
 
     def index_rows(batches: Iterable[pa.RecordBatch]):
         def solve(rows: list[tuple]):
@@ -257,7 +336,7 @@ def repeated_spans(docs: DataFrame, width: int = 50, hot_texts: int = HOT_TEXTS)
 
     run_kind = "array<struct<a:long,b:long>>"
     marked = several.repartition("m").sortWithinPartitions("m").mapInArrow(index_rows, f"m long, th long, runs {run_kind}")
-    wide = named.where("hot").select("m", "th", "first", "text", F.explode(F.sequence(F.lit(0), F.octet_length("text") - width)).alias("j"))
+    wide = with_text.where("hot").select("m", "th", "first", "text", F.explode(F.sequence(F.lit(0), F.octet_length("text") - width)).alias("j"))
     wide = wide.select("m", "th", "first", "j", F.sha2(F.expr(f"substring(text, j + 1, {width})"), 256).alias("w"))
     least = wide.groupBy("w").agg(F.min("first").alias("least"))
     by_window = wide.join(least, "w").where("least < first").groupBy("m", "th").agg(F.array_sort(F.collect_list(F.struct(F.col("j").cast("long").alias("a"), F.col("j").cast("long").alias("b")))).alias("runs"))
@@ -292,7 +371,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = materialize(real.select("k", "x"), "hashes").join(reps, "x").where("k > rep").select("k", "x", F.lit(True).alias("copy"))
     later = materialize(keyed.distinct(), "later-copies")
     few = F.broadcast(later) if later.count() <= 200_000 else later
-    spans = repeated_spans(real.join(few, ["k", "x"], "left_anti").select("k", "t"), width, hot_texts)
+    total = own.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    spans = repeated_spans(real.join(few, ["k", "x"], "left_anti").select("k", "t"), total, width, hot_texts)
     marked = own.withColumn("x", F.unhex(F.sha2("t", 256))).join(few, ["k", "x"], "left").join(spans, "k", "left").select("k", "t", F.coalesce("copy", F.lit(False)).alias("copy"), "spans")
     kind = dict(docs.dtypes)[id_col]
 
