@@ -17,7 +17,7 @@ from ..operators.hll import estimate, registers
 
 def deduplicate(stream: DataFrame, key: str, ts: str, duration: str) -> DataFrame:
     """Rows whose key was not seen in the current event-time window of ``duration``; state goes with the watermark."""
-    windowed = stream.withWatermark(ts, duration).withColumn("_w", F.window(ts, duration))
+    windowed = stream.withColumn("_w", F.window(ts, duration)["start"]).withWatermark("_w", duration)
     return windowed.dropDuplicates(["_w", key]).drop("_w")
 
 
