@@ -70,6 +70,7 @@ def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataF
         rows.append((r["part"], start))
         start += r["n"]
     bases = spark.createDataFrame(rows, "part int, base long")
+    bases = F.broadcast(bases) if len(rows) <= 200_000 else bases  # a row a file; the ids then stay where they are read
     return files.join(bases, "part").select(id_col, (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids")
 
 
