@@ -12,6 +12,12 @@ from pyspark.sql import functions as F
 from .common import materialize, slices, words_of
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Parity bits of a shingle set.
+_PARITY = 1024
+#: Pairs of one text that are compared together; a text in more pairs is sent to several tasks.
+_PAIRS_TOGETHER = 1000
+#: Ids of texts to compare up to which they are sent to the scan of the texts.
+_SMALL_ROWS = 1_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -71,7 +77,10 @@ def prob_minhash(elements: np.ndarray, weights: np.ndarray, doc: np.ndarray, n_d
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, bands: int = 24, rows: int = 4, weighted: bool = False) -> DataFrame:
-    """``id_col, n, f1, f2, bands``: distinct shingles, a 128-bit fingerprint of the shingle set, and band hashes.
+    """``id_col, n, f1, f2, bands, parity``: distinct shingles, a 128-bit fingerprint of the shingle set, band hashes, parity bits.
+
+    A band's hash includes the band's number. Each distinct shingle flips one of 1024 parity bits, so
+    two sets differ in at least as many shingles as their parity bits do.
 
     ``weighted``: shingles weigh as often as they occur; else each weighs one, and the probability
     Jaccard is the Jaccard similarity of the sets.
@@ -94,11 +103,13 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
                 ends = np.concatenate([[0], np.cumsum(n)])
                 total = lambda x: np.diff(np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)])[ends])
                 f1, f2 = total(mix(e ^ _ODD)), total(mix(e + np.uint64(99)))
-            lists = pa.ListArray.from_arrays(pa.array((np.arange(len(n) + 1) * bands).astype(np.int32)), pa.array(band.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), lists], [id_col, "n", "f1", "f2", "bands"])
+                flips = doc * _PARITY + (mix(e + np.uint64(7)) % np.uint64(_PARITY)).astype(np.int64)
+            parity = np.packbits((np.bincount(flips, minlength=len(n) * _PARITY) & 1).astype(np.uint8)).view(np.int64)
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * each), pa.array(x)) for each, x in ((bands, band.ravel().view(np.int64)), (_PARITY // 64, parity))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), *lists], [id_col, "n", "f1", "f2", "bands", "parity"])
 
     own = docs.select(docs[id_col].alias("k"), docs[text_col].alias("t"))
-    return own.mapInArrow(run, f"`{id_col}` {kind}, n long, f1 long, f2 long, bands array<long>")
+    return own.mapInArrow(run, f"`{id_col}` {kind}, n long, f1 long, f2 long, bands array<long>, parity array<long>")
 
 
 def shingle_sets(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -141,6 +152,17 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("k"), F.col("b").alias("label")).unionByName(e.select(F.col("b").alias("k"), F.col("b").alias("label")).distinct())
 
 
+def attach_sets(pairs: DataFrame, sets: DataFrame, side: str) -> DataFrame:
+    """Add ``s<side>``, the shingle set of the text named in column ``side``.
+
+    A text in many pairs is copied once for each ``_PAIRS_TOGETHER`` of them, so its pairs spread over tasks.
+    """
+    other = "b" if side == "a" else "a"
+    fan = pairs.groupBy(side).agg(F.ceil(F.count(F.lit(1)) / _PAIRS_TOGETHER).cast("int").alias("fan"))
+    copies = sets.join(fan, sets["k"] == fan[side]).select(side, F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("salt"), F.col("s").alias(f"s{side}"))
+    return pairs.join(fan, side).withColumn("salt", F.pmod(F.xxhash64(other), "fan").cast("int")).join(copies, [side, "salt"]).drop("salt", "fan")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: tuple[int, int] = (4, 5), bands: int = 24, rows: int = 4, weighted: bool = False) -> DataFrame:
     """A row per row of ``docs``: ``id_col, class_id``, the smallest id among texts linked by near-duplicates.
 
@@ -150,8 +172,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Texts with equal shingle sets are one vertex. A bucket links its members to its smallest; once
     these links are verified and joined into components, only pairs of different components in a
-    bucket can still change anything, and all of those are verified too. So no bucket is expanded
-    into all pairs, and no link between candidates is lost.
+    bucket can still change anything, and all of those are compared too. A pair's sets are fetched
+    only if sizes and parity bits leave room for the threshold, which loses no link: a similarity
+    of p/q or more needs a symmetric difference of at most (q - p) / (q + p) of the two sizes, and the
+    parity bits that differ bound that difference from below.
 
     Rows with a null id are not compared (class null); a text without words is a class of its own;
     an id that repeats with several texts is linked through any of them; an empty table gives no
@@ -160,36 +184,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = docs.select(docs[id_col].alias("k"), docs[text_col].alias("t"))
     rows_of = materialize(sketches(own, "k", "t", width, bands, rows, weighted), "sketches")
     real = rows_of.where("n > 0 and k is not null")
-    vertices = materialize(real.groupBy("f1", "f2").agg(F.min("k").alias("v"), F.max("n").alias("n"), F.min_by("bands", "k").alias("bands")), "vertices")
-    slots = vertices.select("v", "n", F.posexplode("bands").alias("band", "h"))
-    shared = slots.groupBy("band", "h").agg(F.min("v").alias("hub"), F.min_by("n", "v").alias("hub_n"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
-    crowded = materialize(slots.join(shared, ["band", "h"]), "buckets")
-    many, one = threshold[1], threshold[0]
-    near_size = lambda x, y: F.least(x, y) * many >= F.greatest(x, y) * one
-
-    involved = crowded.select("v").distinct()
-    texts = own.join(involved, own["k"] == involved["v"]).select("k", "t")
-    sets = materialize(shingle_sets(texts, width), "shingle-sets")
-
-    def verified(pairs: DataFrame) -> DataFrame:
+    first = F.min(F.struct("k", "n", "bands", "parity")).alias("first")
+    vertices = materialize(real.groupBy("f1", "f2").agg(first).select("f1", "f2", F.col("first.k").alias("v"), "first.n", "first.bands", "first.parity"), "vertices")
+    slots = vertices.select("v", F.explode("bands").alias("h")).repartition("h")  # one exchange, used twice
+    shared = slots.groupBy("h").agg(F.min("v").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
+    crowded = materialize(slots.join(shared, "h"), "buckets")
+    one, many = threshold
+
+    def shape(side: str) -> DataFrame:
+        return vertices.select(F.col("v").alias(side), F.col("n").alias(f"n{side}"), F.col("parity").alias(f"p{side}"))
+
+    def may_link(na: str, nb: str, pa_: str, pb: str):
+        """No text pair of the threshold's similarity fails this."""
+        differing = sum((F.bit_count(F.col(pa_)[i].bitwiseXOR(F.col(pb)[i])) for i in range(1, _PARITY // 64)), F.bit_count(F.col(pa_)[0].bitwiseXOR(F.col(pb)[0])))
+        return (F.least(na, nb) * many >= F.greatest(na, nb) * one) & (differing * (many + one) <= (F.col(na) + F.col(nb)) * (many - one))
+
+    def verified(pairs: DataFrame, tag: str) -> DataFrame:
         """Of ``a, b`` those whose sets are similar enough."""
-        left, right = sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), sets.select(F.col("k").alias("b"), F.col("s").alias("sb"))
-        both = pairs.join(left, "a").join(right, "b")
+        pairs = materialize(pairs.select("a", "b").distinct(), f"{tag}-pairs")
+        named = materialize(pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct(), f"{tag}-texts")
+        named = F.broadcast(named) if named.count() <= _SMALL_ROWS else named
+        sets = materialize(shingle_sets(own.join(named, own["k"] == named["v"], "left_semi"), width), f"{tag}-sets")
+        both = attach_sets(attach_sets(pairs, sets, "a"), sets, "b")
         common = F.size(F.array_intersect("sa", "sb"))
-        return both.where(common * many >= (F.size("sa") + F.size("sb") - common) * one).select("a", "b")
+        return materialize(both.where(common * many >= (F.size("sa") + F.size("sb") - common) * one).select("a", "b"), f"{tag}-links")
 
-    stars = crowded.where((F.col("v") != F.col("hub")) & near_size(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("v").alias("b")).distinct()
-    links = materialize(verified(stars), "links")
+    stars = crowded.where("v <> hub").select(F.col("hub").alias("a"), F.col("v").alias("b")).distinct()
+    links = verified(stars.join(shape("b"), "b").join(shape("a"), "a").where(may_link("na", "nb", "pa", "pb")), "star")
     labels = materialize(components(links), "labels")
-    placed = crowded.select("band", "h", "v", "n").join(labels.withColumnRenamed("k", "v"), "v", "left").withColumn("label", F.coalesce("label", "v"))
-    placed = materialize(placed, "placed")
-    mixed = placed.groupBy("band", "h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("band", "h")
-    rest = placed.join(mixed, ["band", "h"], "left_semi")
-    a, b = rest.alias("a"), rest.alias("b")
-    pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.h") == F.col("b.h")) & (F.col("a.label") < F.col("b.label")) & near_size(F.col("a.n"), F.col("b.n")))
-    more = verified(pairs.select(F.col("a.v").alias("a"), F.col("b.v").alias("b")).distinct())
-    links = materialize(links.unionByName(more), "links")
-    labels = components(links)
+    placed = crowded.select("h", "v").join(labels.withColumnRenamed("k", "v"), "v", "left").select("h", "v", F.coalesce("label", "v").alias("label"))
+    placed = materialize(placed.join(vertices.select("v", "n", "parity"), "v"), "placed").repartition("h")
+    mixed = placed.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("h")
+    rest = placed.join(mixed, "h", "left_semi")
+    a, b = (rest.select("h", *[F.col(c).alias(c + side) for c in ("v", "label", "n", "parity")]) for side in "ab")
+    pairs = a.join(b, "h").where((F.col("labela") < F.col("labelb")) & may_link("na", "nb", "paritya", "parityb"))
+    more = verified(pairs.select(F.col("va").alias("a"), F.col("vb").alias("b")), "rest")
+    labels = components(links.unionByName(more))
     classes = vertices.select("f1", "f2", "v").join(labels, F.col("v") == F.col("k"), "left").select("f1", "f2", F.coalesce("label", "v").alias("class"))
     classes = materialize(classes, "classes")
     named = real.select("k", "f1", "f2").join(classes, ["f1", "f2"]).select("k", "class")
