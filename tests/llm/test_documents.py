@@ -178,18 +178,8 @@ def test_substring_dedup(fixture):
         assert got == want
 
 
-def test_near_dedup(spark):
-    rnd = random.Random(11)
-    base = [[f"w{rnd.randrange(10**6)}" for _ in range(120)] for _ in range(6)]
-    rows, k = [], 0
-    for b in base:
-        for j in range(12):
-            w = list(b)
-            for _ in range(j % 4):
-                w[rnd.randrange(len(w))] = f"x{rnd.randrange(10**6)}"
-            rows.append((k, " ".join(w)))
-            k += 1
-    rows += [(k, None), (k + 1, "!!"), (k + 2, "??"), (k + 3, "one two"), (k + 4, "One, two.")]
+def linked(rows):
+    """Brute force: each id's smallest linked id over all pairs."""
     sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if (w := common.words_of(t)) else set() for i, t in rows}
     label = {i: i for i, _ in rows}
 
@@ -203,8 +193,41 @@ def test_near_dedup(spark):
             if a < b and sets[a] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
                 x, y = sorted((root(a), root(b)))
                 label[y] = x
+    return {i: root(i) for i in label}
+
+
+def test_near_dedup(spark):
+    rnd = random.Random(11)
+    base = [[f"w{rnd.randrange(10**6)}" for _ in range(120)] for _ in range(6)]
+    rows, k = [], 0
+    for b in base:
+        for j in range(12):
+            w = list(b)
+            for _ in range(j % 4):
+                w[rnd.randrange(len(w))] = f"x{rnd.randrange(10**6)}"
+            rows.append((k, " ".join(w)))
+            k += 1
+    rows += [(k, None), (k + 1, "!!"), (k + 2, "??"), (k + 3, "one two"), (k + 4, "One, two.")]
+    want = linked(rows)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_near_dedup_of_one_large_group(spark, monkeypatch):
+    """Copies of one text, most of them too far from each other, in the same buckets."""
+    monkeypatch.setattr(near_dedup, "_PAIRS_TOGETHER", 2)
+    rnd = random.Random(5)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(200)]
+    rows = []
+    for k in range(90):
+        w = list(base)
+        for _ in range(k % 9):
+            w[rnd.randrange(len(w))] = f"x{rnd.randrange(10**6)}"
+        rows.append((k if k else 1000, " ".join(w)))
+    want = linked(rows)
+    assert 5 < len(set(want.values())) < 80
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {i: root(i) for i in label}
+    assert got == want
 
 
 def test_prob_minhash_estimates_probability_jaccard():
