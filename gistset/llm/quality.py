@@ -250,7 +250,7 @@ def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_c
     scorer = score_in_memory if model.count() <= broadcast_rows else score_by_join
     scores = materialize(scorer(own, model, order), "scores")
     held = scores.where((_fold(F.col("k"), folds) == 0) & (F.col("n") > 0) & F.col("bits").isNotNull()).join(few, F.col("k") == F.col("g"), "left_semi")
-    means = held.groupBy("lang").agg((F.sum("bits") / F.sum("n")).alias("mean"))
+    means = F.broadcast(materialize(held.groupBy("lang").agg((F.sum("bits") / F.sum("n")).alias("mean")), "means"))  # a row a language that has a model
     drawn = (F.col("bits") + prior_bytes * F.col("mean")) / (F.col("n") + prior_bytes)
     limits = held.join(means, "lang").withColumn("rate", drawn).groupBy("lang", "mean").agg((F.percentile_approx("rate", F.lit(quantile), F.lit(10_000)) * margin).alias("limit"))
     limits = F.broadcast(materialize(limits, "limits"))  # a row a language that has a model
