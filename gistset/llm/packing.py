@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import materialize, slices, small_batches
 from .tokenizing import encoder
 
 
@@ -132,7 +132,8 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, id_
     other columns of ``docs`` are not read.
     """
     spark = docs.sparkSession
-    pieces = materialize(cut_pieces(docs, tokenizer, size, end_id, id_col, text_col), "pieces")
+    with small_batches(spark):
+        pieces = materialize(cut_pieces(docs, tokenizer, size, end_id, id_col, text_col), "pieces")
     by_part = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per task
     before = materialize(by_part.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))), "piece-counts")

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, small_batches
 from .tokenizing import encoder
 
 
@@ -44,18 +44,19 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id
             )
             start += int(ends[-1])
 
-    (
-        own.repartitionByRange("k")
-        .sortWithinPartitions("k", "t")
-        .mapInArrow(run, f"`{id_col}` {kind}, part int, local_start long, n_tokens long, ids array<int>")
-        .write.option("compression", "zstd")
-        .option("orc.bloom.filter.columns", id_col)
-        .option("orc.bloom.filter.fpp", "0.01")
-        .option("orc.create.index", "true")
-        .option("orc.row.index.stride", str(index_rows))
-        .option("orc.stripe.size", str(stripe_bytes))
-        .orc(path)
-    )
+    with small_batches(docs.sparkSession):
+        (
+            own.repartitionByRange("k")
+            .sortWithinPartitions("k", "t")
+            .mapInArrow(run, f"`{id_col}` {kind}, part int, local_start long, n_tokens long, ids array<int>")
+            .write.option("compression", "zstd")
+            .option("orc.bloom.filter.columns", id_col)
+            .option("orc.bloom.filter.fpp", "0.01")
+            .option("orc.create.index", "true")
+            .option("orc.row.index.stride", str(index_rows))
+            .option("orc.stripe.size", str(stripe_bytes))
+            .orc(path)
+        )
 
 
 def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:

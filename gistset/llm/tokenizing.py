@@ -7,11 +7,14 @@ seen (a bounded memory), and gives the library only new ones.
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
 import re
 import struct
 
+import regex
+
 # White space as the tokenizers' patterns have it (fixed values).
 SPACE = "\t-\r \x85\xa0  -     　"
 #: A space goes with the word after it; a longer run of white space leaves it its last space.
@@ -45,15 +48,25 @@ def chunker(spec: dict):
 # The tokenizers' own patterns, as they read on ASCII text (fixed values).
 _ASCII_KEEPING = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
 _ASCII_DROPPING = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z]+|[0-9]|[^\sA-Za-z0-9]+", re.ASCII)
-#: Byte-level alphabets show the bytes below ! and DEL, in order, as the characters from U+0100.
-_BYTE_SIGNS = {b: chr(256 + b) for b in range(33)} | {127: chr(256 + 33)}
+#: Byte-level alphabets show printable Latin-1 bytes as they are and the others, in order, as the characters from U+0100.
+_SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_HIDDEN = [b for b in range(256) if b not in _SHOWN]
+_BYTE_SIGNS = {b: chr(256 + i) for i, b in enumerate(_HIDDEN)}
+_SIGN_OF_BYTE = "".join(_BYTE_SIGNS.get(b, chr(b)) for b in range(256))
+
+#: Beyond ASCII, signs whose class and lower case every Unicode version gives alike and which NFC leaves alone:
+#: Latin without dotted capital I, Cyrillic, dashes and quotes, ideographic punctuation, kana, ideographs.
+_SETTLED = re.compile("[\x00-\x7f\xa1-\xac\xae-\u012f\u0131-\u017e\u0400-\u045f\u2010-\u2026\u3001-\u3003\u3008-\u3011\u3041-\u3094\u30a1-\u30fa\u4e00-\u9fa5]*")
+# The same patterns on such signs (fixed values); chunks hold no white space but one space before the word.
+_SETTLED_KEEPING = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+")
+_SETTLED_DROPPING = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 
 
 class Splitter:
     """Cuts a text into chunks, and a chunk into the words that the tokenizer's model gets.
 
-    ASCII chunks of the known kinds of tokenizer are cut here, all else by the file's own
-    normaliser and pre-tokenizer.
+    ASCII chunks of the known kinds of tokenizer, and chunks of settled signs, are cut here, all
+    else by the file's own normaliser and pre-tokenizer.
     """
 
     def __init__(self, path: str):
@@ -65,64 +78,103 @@ class Splitter:
         self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as f:
             self.spec = json.load(f)
-        self.cut = chunker(self.spec)
-        self.pattern = {_keep: _ASCII_KEEPING, _split_dropping: _ASCII_DROPPING}.get(self.cut)
-        self.lower = self.cut is _split_dropping
+        self.plain_cut = cut = chunker(self.spec)
+        self.pattern = {_keep: _ASCII_KEEPING, _split_dropping: _ASCII_DROPPING}.get(cut)
+        self.settled = {_keep: _SETTLED_KEEPING, _split_dropping: _SETTLED_DROPPING}.get(cut)
+        self.lower = cut is _split_dropping
         self.normalizer, self.pre = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
         if self.lower and [n.get("type") for n in (self.spec.get("normalizer") or {}).get("normalizers", [])] != ["NFC", "Replace", "Lowercase"]:
             self.pattern = None
         added = sorted((t["content"] for t in self.spec.get("added_tokens") or []), key=len, reverse=True)
         #: The strings that the library takes out of a text before all else.
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        #: These cut a text before all else: white space before one ends there. Whole-text chunks hold them instead.
+        self.cutting = added if cut in (_keep, _split_dropping) else []
+        if self.pattern and any(len(self.pattern.findall(t)) < 2 for t in added):
+            self.pattern = None  # a piece could read like an added token
+
+    def cut(self, text: str) -> list[str]:
+        """The chunks of a text; an added token is a chunk."""
+        if not any(t in text for t in self.cutting):
+            return self.plain_cut(text)
+        out, at = [], 0
+        for m in self.added.finditer(text):
+            out += self.plain_cut(text[at : m.start()])
+            out.append(m.group())
+            at = m.end()
+        return out + self.plain_cut(text[at:])
+
+    def pieces(self, chunk: str) -> list[str] | None:
+        """The words of a chunk as plain text, where it is cut here; None where the file's own steps must cut it."""
+        if self.pattern is None:
+            return None
+        if chunk.isascii():
+            return self.pattern.findall(chunk.lower() if self.lower else chunk)
+        if _SETTLED.fullmatch(chunk):
+            return self.settled.findall(chunk.lower() if self.lower else chunk)
+        return None
+
+    @staticmethod
+    def signs(piece: str) -> str:
+        """A piece in the alphabet of the model."""
+        return piece.translate(_BYTE_SIGNS) if piece.isascii() else codecs.charmap_decode(piece.encode(), "strict", _SIGN_OF_BYTE)[0]
 
     def words(self, chunk: str) -> list[str]:
         """The words of a chunk that holds no added token, in the alphabet of the model."""
-        if self.pattern and chunk.isascii():
-            return [w.translate(_BYTE_SIGNS) for w in self.pattern.findall(chunk.lower() if self.lower else chunk)]
+        if (pieces := self.pieces(chunk)) is not None:
+            return list(map(self.signs, pieces))
         if self.normalizer:
             chunk = self.normalizer.normalize_str(chunk)
         return [w for w, _ in self.pre.pre_tokenize_str(chunk) if w] if self.pre else [chunk]
 
 
 class ChunkEncoder:
-    """Encodes texts; ``most`` bounds the number of remembered chunks and words, ``longest`` the length of each."""
+    """Encodes texts; ``most`` bounds the number of remembered chunks and pieces, ``longest`` the length of each."""
 
     def __init__(self, path: str, most: int = 700_000, longest: int = 64):
         self.split = Splitter(path)
         self.model = self.split.tokenizer.model
+        #: Ids of chunks and of their pieces alike: a piece is cut into itself, so as a chunk it has the same ids.
         self.chunks: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
         self.most, self.longest = most, longest
 
-    def _word(self, word: str) -> bytes:
-        if (ids := self.known.get(word)) is None:
-            ids = struct.pack(f"<{len(t)}I", *[x.id for x in t]) if len(t := self.model.tokenize(word)) else b""
-            if len(word) <= self.longest:
-                if len(self.known) >= self.most:
-                    self.known.clear()
-                self.known[word] = ids
+    def _model(self, word: str) -> bytes:
+        tokens = self.model.tokenize(word)
+        return struct.pack(f"<{len(tokens)}I", *[x.id for x in tokens])
+
+    def _keep(self, key: str, ids: bytes) -> bytes:
+        if len(key) <= self.longest:
+            if len(self.chunks) >= self.most:
+                self.chunks.clear()
+            self.chunks[key] = ids
         return ids
 
     def _chunk(self, chunk: str) -> bytes:
         if self.split.added and self.split.added.search(chunk):
             ids = self.split.tokenizer.encode(chunk, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
-        return b"".join(map(self._word, self.split.words(chunk)))
+        pieces = self.split.pieces(chunk)
+        if pieces is None:
+            return b"".join(map(self._model, self.split.words(chunk)))
+        signs, out = self.split.signs, []
+        for p in pieces:
+            ids = self.chunks.get(p)
+            out.append(self._keep(p, self._model(signs(p))) if ids is None else ids)
+        return b"".join(out)
 
     def encode(self, texts: list[str | None], end_id: int | None = None) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers, then ``end_id``; null is empty."""
         end, out = b"" if end_id is None else struct.pack("<I", end_id), []
         for t in texts:
-            parts, chunks = [], self.chunks
-            for c in self.split.cut(t) if t else ():
-                ids = chunks.get(c)
-                if ids is None:
-                    ids = self._chunk(c)
-                    if len(c) <= self.longest:
-                        if len(chunks) >= self.most:
-                            chunks.clear()
-                        chunks[c] = ids
-                parts.append(ids)
+            cut, chunks = self.split.cut(t) if t else [], self.chunks
+            parts = list(map(chunks.get, cut))
+            at = -1
+            for _ in range(parts.count(None)):
+                at = parts.index(None, at + 1)
+                c = cut[at]
+                if (ids := chunks.get(c)) is None:  # else met earlier in this text
+                    ids = self._keep(c, self._chunk(c))
+                parts[at] = ids
             parts.append(end)
             out.append(b"".join(parts))
         return out

@@ -1,5 +1,6 @@
 """The document operators against brute force, on small fixtures with nulls, empty texts, ties and odd columns."""
 
+import functools
 import hashlib
 import random
 import zlib
@@ -7,7 +8,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from gistset.llm import common, decontamination, exact_dedup, license_scan, line_dedup, near_dedup, packing, quality, substring_dedup, token_counts, token_files
+from gistset.llm import common, decontamination, exact_dedup, license_scan, line_dedup, near_dedup, packing, quality, substring_dedup, token_counts, token_files, tokenizing
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -33,16 +34,34 @@ def fixture(spark):
     return df.repartition(3).cache(), {r[0]: r[1] for r in rows}
 
 
-def library(path, text):
+@functools.cache
+def loaded(path):
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(path)
+
+
+def library(path, text):
+    return loaded(path).encode(text or "", add_special_tokens=False).ids
 
 
 def crc(ids):
     return zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_encoder_equals_library_on_odd_signs(path):
+    rnd = random.Random(2)
+    signs = list("abS'tsT re1!?\n \t\x1cİΣ\u0301 \u3000\xad\xe9\xdf\u2013\u4e2d\u3042\u0436") + ["<|endoftext|>", "  <|startoftext|>"]
+    texts = ["".join(rnd.choices(signs, k=rnd.randint(0, 14))) for _ in range(2000)]
+    want = [library(path, t) for t in texts]
+    got = tokenizing.ChunkEncoder(path, most=50).encode(texts)
+    counter = token_counts.TokenCounter(path)
+    for t, w, g in zip(texts, want, got, strict=True):
+        assert g == b"".join(i.to_bytes(4, "little") for i in w), ascii(t)
+        assert counter.count(t) == len(w), ascii(t)
+
+
 def test_token_files(spark, fixture):
     df, texts = fixture
     path = common.new_path(spark, "t")
