@@ -142,10 +142,9 @@ class LicenseScanner:
             for t, end in a.ends[v]:
                 if t < self.n_phrases:
                     continue
-                covered, start = n, i - n + 1
-                for c, doc_end, place, first in chains.get(t, ()):
-                    if 0 <= start - doc_end <= self.gap and place <= end - n and c + n > covered:
-                        covered, start = c + n, first
+                own = i - n + 1
+                fits = [(c + n, first) for c, doc_end, place, first in chains.get(t, ()) if 0 <= own - doc_end <= self.gap and place <= end - n]
+                covered, start = max(fits, default=(n, own))  # of equal cover the chain that starts last
                 chains.setdefault(t, []).append((covered, i + 1, end, start))
                 chains[t] = [x for x in chains[t] if i + 1 - x[1] <= self.gap + self.sizes[t]]
                 best[t] = max(best.get(t, (0.0, 0, 0)), (min(1.0, covered / self.sizes[t]), start, i + 1))

@@ -273,6 +273,37 @@ def test_licenses(fixture):
     assert found["labels"] == ["mit"] and found["score"] > 0.9
 
 
+def test_license_chains_equal_brute_force():
+    """Templates broken into many spans, with words replaced, added, dropped and repeated, against all chains of all spans."""
+    rnd = random.Random(3)
+    mit = license_scan.TEMPLATES["mit"].split()
+    scan = license_scan.LicenseScanner({}, {"mit": " ".join(mit)}).scan
+    broken = scan(" ".join(f"x{i}" if i % 5 == 4 else w for i, w in enumerate(mit)))
+    assert (broken["labels"], broken["spans"], broken["score"]) == (["mit"], [("mit", 0, 29, 24 / 29)], 24 / 29)
+    many = 0
+    for _ in range(200):
+        text = []
+        for _ in range(rnd.randint(1, 12)):
+            a = rnd.randrange(len(mit))
+            text += mit[a : a + rnd.randint(2, 9)] + [f"x{rnd.randrange(9)}"] * rnd.choice([0, 1, 3, 11, 12, 13])
+        runs = [(i, j, n) for i in range(len(text)) for j in range(len(mit)) for n in range(4, len(mit) + 1) if text[i : i + n] == mit[j : j + n] and i + n <= len(text) and j + n <= len(mit)]
+        # maximal in the text: no longer run covers it
+        runs = [(i, j, n) for i, j, n in runs if not any(a <= i and i + n <= a + m and m > n for a, _, m in runs)]
+        best, ends = (0, 0, 0), []
+        for i, j, n in sorted(runs, key=lambda x: x[0] + x[2]):
+            all_chains = {(n, i)}
+            for a, b, m, chains in ends:
+                if 0 <= i - a - m <= 12 and b + m <= j:
+                    all_chains |= {(c + n, first) for c, first in chains}
+            ends.append((i, j, n, all_chains))
+            best = max(best, *((c, first, i + n) for c, first in all_chains))
+        many += best[0] >= 16
+        got = scan(" ".join(text))
+        assert got["score"] == best[0] / len(mit)
+        assert got["spans"] == ([("mit", best[1], best[2], best[0] / len(mit))] if best[0] / len(mit) >= 0.5 else [])
+    assert many > 10
+
+
 def test_quality(spark):
     rnd = random.Random(4)
     good = lambda: " ".join(rnd.choice(["river", "stone", "walks", "under", "green", "light"]) for _ in range(60))
