@@ -222,39 +222,91 @@ def score_by_join(docs: DataFrame, model: DataFrame, order: int) -> DataFrame:
     return out.select("k", "lang", "n", F.when(F.col("known"), F.col("bits")).alias("bits"))
 
 
-def _fold(k: Column, folds: int) -> Column:
-    return F.pmod(F.xxhash64(k), F.lit(folds))
+def _fold(k: Column, folds: int, salt: int) -> Column:
+    return F.pmod(F.xxhash64(k, F.lit(salt)), F.lit(folds)).cast("string")
 
 
-def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 5, folds: int = 5, quantile: float = 0.999, margin: float = 1.1, prior_bytes: int = 100, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+#: The pooled model's name; a language's own is "l" and the language.
+POOLED = "p"
+
+
+def cross_models(texts: DataFrame, folds: int, pooled: bool, order: int) -> DataFrame:
+    """Models of trusted texts ``fold, home, t``: rows as of ``kneser_ney``, ``lang`` being "fold:home".
+
+    The model "all:home" counts all texts of a home, "3:home" all but those in fold 3. The pooled home
+    takes the texts of every home. Each text is read and counted once, whatever the number of folds.
+    """
+    counts = count_grams(texts.select(F.concat_ws(":", "fold", "home").alias("lang"), "t"), order)
+    at = F.split("lang", ":", 2)
+    counts = counts.select(at[0].alias("fold"), F.explode(_homes(at[1], pooled)).alias("home"), "key", "c")
+    models = F.array_remove(F.array(*[F.lit(str(m)) for m in ("all", *range(folds))]), F.col("fold"))
+    counts = counts.select(F.explode(models).alias("m"), "home", "key", "c").groupBy(F.concat_ws(":", "m", "home").alias("lang"), "key").agg(F.sum("c").alias("c"))
+    return materialize(kneser_ney(materialize(counts, "counts"), order), "model")
+
+
+def _homes(home: Column, pooled: bool) -> Column:
+    return F.when(F.lit(pooled) & (home != POOLED), F.array(home, F.lit(POOLED))).otherwise(F.array(home))
+
+
+def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 5, folds: int = 5, quantile: float = 0.999, margin: float = 1.1, prior_bytes: int = 100, broadcast_rows: int = BROADCAST_ROWS, least: int = 20) -> DataFrame:
     """``id_col, lang, n_bytes, perplexity, threshold, kept`` for each row of ``docs``.
 
-    ``trusted`` holds the ids of trusted documents (column ``id_col``). All their text but every
-    ``folds``-th document trains a byte n-gram model for each language; the documents held out give
-    each language's threshold: ``margin`` times the ``quantile`` of their bits a byte. Bits a byte are
-    drawn to the language's mean with the weight of ``prior_bytes`` bytes, so a short text is
+    ``trusted`` holds the ids of trusted documents (column ``id_col``). All their text trains a byte
+    n-gram model for each language, by which all other documents are scored. Trusted documents are
+    dealt into ``folds`` parts; each part is scored by models of the other parts, so every one of them
+    counts in its language's threshold: ``margin`` times the ``quantile`` of their bits a byte. Bits a
+    byte are drawn to the language's mean with the weight of ``prior_bytes`` bytes, so a short text is
     rejected only if it is very odd. ``perplexity`` is 2 to the bits a byte.
 
-    Counts, discounts and thresholds cover all documents. The model is sent to the executors while
-    it has at most ``broadcast_rows`` rows, and joined by shuffle beyond, with the same scores.
-    A text of a language (null included) without a trusted model has no perplexity and is kept; so is
-    an empty or null text. Null and repeated ids pass through; empty tables give no rows; other
-    columns are not read.
+    A language with fewer than ``least`` trusted texts, and texts of null language, are judged by one
+    model of all trusted texts. Their threshold is that of the languages with ``least`` or more (of all,
+    where there are none) under this model, or of the language's own trusted texts if that is higher. Counts, discounts and thresholds cover all documents. A model is
+    sent to the executors while it has at most ``broadcast_rows`` rows, and joined by shuffle beyond,
+    with the same scores. A text of a language without any trusted text has no perplexity and is kept;
+    so is an empty or null text. With a single trusted text in all there is nothing to hold out, and all
+    is kept. Null and repeated ids pass through; empty tables give no rows; other columns are not read.
     """
     own = docs.select(docs[id_col].alias("k"), docs[lang_col].alias("lang"), docs[text_col].alias("t"))
     good = trusted.select(F.col(id_col).alias("g")).where("g is not null").distinct()
     good = materialize(good, "trusted")
     few = F.broadcast(good) if good.count() <= SMALL_ROWS else good
-    train = own.where(_fold(F.col("k"), folds) != 0).join(few, own["k"] == few["g"], "left_semi").where("lang is not null")
-    model = materialize(kneser_ney(materialize(count_grams(train, order), "counts"), order), "model")
-    scorer = score_in_memory if model.count() <= broadcast_rows else score_by_join
-    scores = materialize(scorer(own, model, order), "scores")
-    held = scores.where((_fold(F.col("k"), folds) == 0) & (F.col("n") > 0) & F.col("bits").isNotNull()).join(few, F.col("k") == F.col("g"), "left_semi")
-    means = F.broadcast(materialize(held.groupBy("lang").agg((F.sum("bits") / F.sum("n")).alias("mean")), "means"))  # a row a language that has a model
+    texts = materialize(own.join(few, own["k"] == few["g"], "left_semi").withColumn("some", F.octet_length("t") > 0), "trusted-texts")
+    ids, salt = texts.where("some").select("lang", "k").distinct(), 0
+    while True:
+        seen = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.collect_set(_fold(F.col("k"), folds, salt)).alias("in"))
+        seen = seen.collect()  # a row a language
+        if len({f for r in seen for f in r["in"]}) != 1 or sum(r["n"] for r in seen) < 2 or salt > 99:
+            break
+        salt += 1  # all in one part: deal the few there are again
+    whole = [r["lang"] for r in seen if r["lang"] is not None and r["n"] >= least and len(r["in"]) > 1]
+    small = [r["lang"] for r in seen if r["lang"] is not None and r["lang"] not in whole]
+    pooled = bool(small) or not own.where("lang is null").isEmpty()
+    home = F.when(F.col("lang").isNull() | F.col("lang").isin(small), POOLED).when(F.col("lang").isin(whole), F.concat(F.lit("l"), "lang"))
+
+    texts = texts.withColumns({"fold": _fold(F.col("k"), folds, salt), "home": home})
+    models = cross_models(texts.where("home is not null"), folds, pooled, order)
+    row = F.struct("k", "lang").alias("k")
+    rest = own.join(few, own["k"] == few["g"], "left_anti").select(row, F.concat(F.lit("all:"), home).alias("lang"), "t")
+    held = texts.select(row, "fold", F.explode(_homes(F.col("home"), pooled)).alias("home"), "t")
+    scores = None
+    for m in ("all", *map(str, range(folds))):
+        part = rest if m == "all" else held.where(F.col("fold") == m).select("k", F.concat("fold", F.lit(":"), "home").alias("lang"), "t")
+        model = models.where(F.col("lang").startswith(f"{m}:"))
+        scorer = score_in_memory if model.count() <= broadcast_rows else score_by_join
+        part = materialize(scorer(part, model, order), f"scores-{m}").select("k.k", "k.lang", F.split("lang", ":", 2)[1].alias("home"), F.lit(m != "all").alias("held"), "n", "bits")
+        scores = part if scores is None else scores.unionByName(part)
+
+    held = scores.where(F.col("held") & (F.col("n") > 0) & F.col("bits").isNotNull())
+    means = F.broadcast(materialize(held.groupBy("home").agg((F.sum("bits") / F.sum("n")).alias("mean")), "means"))  # a row a model
     drawn = (F.col("bits") + prior_bytes * F.col("mean")) / (F.col("n") + prior_bytes)
-    limits = held.join(means, "lang").withColumn("rate", drawn).groupBy("lang", "mean").agg((F.percentile_approx("rate", F.lit(quantile), F.lit(10_000)) * margin).alias("limit"))
-    limits = F.broadcast(materialize(limits, "limits"))  # a row a language that has a model
-    all_rows = scores.join(limits, "lang", "left").withColumn("rate", drawn)
+    high = F.percentile_approx("rate", F.lit(quantile), F.lit(10_000)) * margin
+    rates = held.join(means, "home").withColumn("rate", drawn)
+    # the odd texts of small languages must not loosen the pooled threshold for the others
+    base = rates.where((F.col("home") != POOLED) | F.col("lang").isin(whole)) if whole else rates
+    limits = F.broadcast(materialize(base.groupBy("home", "mean").agg(high.alias("limit")), "limits"))  # a row a model
+    of = F.broadcast(materialize(rates.where(F.col("home") == home).groupBy(F.col("lang").alias("of")).agg(high.alias("least")), "own-limits"))  # a row a language
+    all_rows = scores.where(F.col("home").eqNullSafe(home)).join(limits, "home", "left").join(of, F.col("lang").eqNullSafe(F.col("of")), "left")
+    all_rows = all_rows.withColumns({"rate": drawn, "limit": F.when(F.col("limit").isNotNull(), F.greatest("limit", "least"))})
     return all_rows.select(
         F.col("k").alias(id_col), "lang", F.col("n").alias("n_bytes"), F.pow(F.lit(2.0), F.col("bits") / F.when(F.col("n") > 0, F.col("n"))).alias("perplexity"),
         F.pow(F.lit(2.0), "limit").alias("threshold"), (F.col("rate").isNull() | (F.col("n") == 0) | (F.col("rate") <= F.col("limit"))).alias("kept"),

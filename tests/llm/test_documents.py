@@ -316,6 +316,25 @@ def test_quality(spark):
     assert all((r["perplexity"] is None and one[k]["perplexity"] is None) or abs(r["perplexity"] - one[k]["perplexity"]) < 1e-3 for k, r in two.items())
 
 
+def test_quality_of_languages_with_few_trusted_texts(spark):
+    """Junk goes in languages with 4 and 8 trusted texts and in none; each trusted text counts and stays."""
+    rnd = random.Random(9)
+    words = {"en": ["river", "stone", "walks", "under"], "de": ["fluss", "stein", "unter", "gr\u00fcn"], "ja": ["\u5ddd\u306f", "\u77f3\u3068", "\u6b69\u304f", "\u7dd1"]}
+    text = lambda x: " ".join(rnd.choice(words[x]) for _ in range(60))
+    junk = lambda: "".join(chr(rnd.randrange(33, 127)) for _ in range(400))
+    rows = [(i, text("en" if i < 100 else "de" if i < 200 else "ja"), "en" if i < 100 else "de" if i < 200 else "ja", "s", 1) for i in (*range(60), *range(100, 110), *range(200, 210))]
+    rows += [(300, junk(), "en", "s", 1), (301, junk(), "de", "s", 1), (302, junk(), None, "s", 1), (303, text("en"), None, "s", 1), (304, junk(), "ja", "s", 1)]
+    trusted = spark.createDataFrame([(i,) for i in (*range(50), *range(100, 104), *range(200, 208))], "doc_id long")
+    got = {r["doc_id"]: r for r in quality.classify(spark.createDataFrame(rows, SCHEMA).repartition(3), trusted, order=3).collect()}
+    assert len(got) == len(rows) and {k for k, r in got.items() if not r["kept"]} == {300, 301, 302, 304}
+    assert all(r["threshold"] is not None for r in got.values())
+    only = spark.createDataFrame([r for r in rows if r[2] == "de"], SCHEMA)
+    two = spark.createDataFrame([(100,), (101,)], "doc_id long")  # two trusted texts in all, in one part unless dealt again
+    one = next(n for n in range(2, 99) if len({r[0] for r in spark.range(100, 102).select(quality._fold(F.col("id"), n, 0)).collect()}) == 1)
+    got = {r["doc_id"]: r for r in quality.classify(only, two, order=3, folds=one).collect()}
+    assert {k for k, r in got.items() if not r["kept"]} == {301} and got[100]["threshold"] is not None
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], SCHEMA)
     items = spark.createDataFrame([], "item_id long, text string")
