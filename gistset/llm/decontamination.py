@@ -104,11 +104,33 @@ def phrase_matches(docs: DataFrame, items: DataFrame, size: int = 13, id_col: st
     return both.select(F.col("k").alias(id_col), F.size("w").cast("long").alias("n_words"), F.coalesce(F.when(F.size("places") > 0, slim), none).alias("matches"))
 
 
-def proximity_matches(docs: DataFrame, items: DataFrame, slop: int, size: int = 13, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Windows whose two rarest words stand within ``slop`` words of their distance: ``id_col, start, gap, window, items``."""
+def proximity_matches(docs: DataFrame, items: DataFrame, slop: int, size: int = 13, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", missing: int = 0) -> DataFrame:
+    """Windows whose words, all but ``missing``, stand within ``slop`` words of their places: ``id_col, start, n_missing, window, items``.
+
+    A row for each ``start`` (it may lie up to ``slop`` and the missing words before the text) at which
+    that holds; a word of the text stands for one word of the window only, and one word at least must
+    stand. Of any ``missing + 1`` words one is there, so the postings of the window's ``missing + 1``
+    rarest words, words in no document first, give all starts; each is held against all words of the
+    window. Equal rows of ``docs`` give their places once.
+    """
     windows = materialize(windows_of(items, size, item_id, item_text), "item-windows")
-    postings, plan = build_index(docs, windows, id_col, text_col)
-    return candidates(postings, plan, slop).distinct().select(F.col("k").alias(id_col), "start", "gap", "window", "items")
+    placed = windows.select("window", "m", "items", F.posexplode("window").alias("o", "term"))
+    vocabulary = placed.select("term").distinct()
+    n_words = vocabulary.count()
+    counts = _tokens(docs, id_col, text_col).select("term").join(_small(vocabulary, n_words), "term").groupBy("term").agg(F.count(F.lit(1)).alias("c"))
+    counts = materialize(counts, "term-counts")
+    by = placed.join(_small(counts, n_words), "term", "left").groupBy("window", "m", "items").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "o", "term"))).alias("by"))
+    plan = materialize(by.select("window", "m", "items", F.explode(F.slice("by", 1, missing + 1)).alias("x")).where("x.c > 0").select("window", "m", "items", "x.o", "x.term"), "windows")
+    places = F.explode(F.array(*[F.col("pos") - F.col("o") + d for d in range(-slop, slop + 1)]))
+    found = _tokens(docs, id_col, text_col).join(_small(plan, plan.count()), "term").select("k", "r", places.alias("start"), "window", "m", "items").distinct()
+    own = docs.select(docs[id_col].alias("k"), F.xxhash64(docs[text_col]).alias("r"), word_list(docs[text_col]).alias("w"))
+    # equal words take the first free place each: their ranges have one length, so none is lost
+    near = F.array(*[F.lit(d) for d in range(-slop, slop + 1)])
+    free = lambda taken, j: F.filter(F.transform(near, lambda d: F.col("start") + j + d), lambda at: (F.get("w", at) == F.get("window", j)) & ~F.array_contains(taken, at))
+    taken = F.aggregate(F.sequence(F.lit(0), F.col("m") - 1), F.expr("cast(array() as array<int>)"), lambda x, j: F.concat(x, F.slice(free(x, j), 1, 1)))
+    both = own.join(found, same_row(own, found)).select(own["k"], "start", (F.col("m") - F.size(taken)).alias("n_missing"), "m", "window", "items")
+    real = both.where((F.col("n_missing") <= missing) & (F.col("n_missing") < F.col("m")))
+    return real.select(F.col("k").alias(id_col), "start", "n_missing", "window", "items").distinct()
 
 
 def judge(matches: DataFrame, id_col: str = "doc_id", share: int = 20) -> DataFrame:

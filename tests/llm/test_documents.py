@@ -178,6 +178,42 @@ def test_decontamination(spark, fixture):
         assert (r["n_words"], r["n_hit"], r["items"], r["contaminated"]) == (len(w), len(hit), sorted(own), bool(hit) and 20 * len(hit) >= len(w))
 
 
+def test_proximity(spark):
+    """Places of all words within the slop, some missing, against brute force over every start."""
+    rnd = random.Random(6)
+    words = [f"w{i}" for i in range(6)]
+    items = [(1, "rare1 w0 w1 w1 w2 rare2 w3"), (2, "w4 unseen w5 rare1"), (3, "w0 w0 w0")]
+    texts = ["rare1 x x x x rare2", "rare1 w0 w1 w1 w2 other w3", "rare1 w0 w1 w2 rare2 w3", None, "", "w4 w5 rare1", "w0"]
+    texts += [" ".join(rnd.choices([*words, "rare1", "rare2"], k=25)) for _ in range(12)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    given = spark.createDataFrame(items, "item_id long, text string")
+
+    def most(w, q, s, slop):  # largest number of window words with a place of their own
+        return sum(match(w, [j for j in range(len(q)) if q[j] == x], x, s, slop) for x in set(q))
+
+    def match(w, js, x, s, slop, used=frozenset()):
+        if not js:
+            return 0
+        free = [p for p in range(max(0, s + js[0] - slop), min(len(w), s + js[0] + slop + 1)) if w[p] == x and p not in used]
+        return max([match(w, js[1:], x, s, slop, used), *(1 + match(w, js[1:], x, s, slop, used | {p}) for p in free)])
+
+    for slop, missing in ((0, 0), (2, 0), (1, 1), (2, 3)):
+        want = set()
+        for k, t in enumerate(texts):
+            w = (t or "").split()
+            for _, item in items:
+                q = item.split()
+                lens = [q[j : j + 5] for j in range(max(1, len(q) - 4))]
+                for win in lens:
+                    for s in range(-12, len(w) + 12):
+                        n = most(w, win, s, slop)
+                        if n and len(win) - n <= missing:
+                            want.add((k, s, len(win) - n, tuple(win)))
+        rows = decontamination.proximity_matches(df, given, slop, size=5, missing=missing).collect()
+        got = {(r["doc_id"], r["start"], r["n_missing"], tuple(r["window"])) for r in rows}
+        assert got == want and len(rows) == len(want) and (missing == 0 or want)
+
+
 def test_substring_dedup(fixture):
     df, texts = fixture
     width, first, want = 50, {}, {}
