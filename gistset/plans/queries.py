@@ -16,7 +16,8 @@ from ..operators.minhash import MinHash
 from ..operators.rle import RleBitmap
 from ..sources import table
 
-SIZE = 1 << 17
+#: Universes of users and orders; larger tables get larger ones.
+SIZE, ORDERS = 1 << 17, 1 << 22
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
@@ -34,13 +35,21 @@ def query(sql: str | None = None):
 # ---------------------------------------------------------------- dense bitmaps
 
 
-def users(spark: SparkSession, sf: str) -> Bitmap:
-    return Bitmap.from_positions(table(spark, sf, "events"), "user_id", SIZE, ["event_type"])
+def universe(df: DataFrame, pos: str, least: int, more: int = 0) -> int:
+    """``least``, doubled until the largest position of ``df``, and ``more`` beyond it, lie inside."""
+    top = df.agg(F.max(F.col(pos).cast("long"))).first()[0]
+    return max(least, 1 << (max(top, 0) + more).bit_length()) if top is not None else least
+
+
+def users(spark: SparkSession, sf: str, more: int = 0) -> Bitmap:
+    e = table(spark, sf, "events")
+    return Bitmap.from_positions(e, "user_id", universe(e, "user_id", SIZE, more), ["event_type"])
 
 
 def _kinds(spark: SparkSession, sf: str) -> tuple[Bitmap, Bitmap]:
     e = table(spark, sf, "events")
-    a, b = (Bitmap.from_positions(e.where(c), "user_id", SIZE) for c in ("user_id % 3 <> 0", "user_id % 2 = 0"))
+    size = universe(e, "user_id", SIZE)
+    a, b = (Bitmap.from_positions(e.where(c), "user_id", size) for c in ("user_id % 3 <> 0", "user_id % 2 = 0"))
     return a, b
 
 
@@ -95,13 +104,15 @@ _FIRST_ZERO = "(SELECT s, min(z) AS first_zero FROM (SELECT s, 0 AS z FROM order
 
 @query(f"WITH o AS {_STATUS}, orders0 AS (SELECT DISTINCT s FROM o) SELECT o.s AS o_orderstatus, min(k) AS first_bit, any_value(first_zero) AS first_zero FROM o JOIN {_FIRST_ZERO} z ON z.s = o.s GROUP BY 1")
 def bitmap_find_first(spark, sf):
-    b = Bitmap.from_positions(table(spark, sf, "orders"), "o_orderkey", 1 << 22, ["o_orderstatus"])
+    o = table(spark, sf, "orders")
+    b = Bitmap.from_positions(o, "o_orderkey", universe(o, "o_orderkey", ORDERS, 1), ["o_orderstatus"])
     return b.find_first_bit().join(b.find_first_zero(), "o_orderstatus")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT') AS found FROM lineitem")
 def bitmap_test(spark, sf):
-    b = Bitmap.from_positions(table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'"), "o_orderkey", 1 << 22)
+    o = table(spark, sf, "orders")
+    b = Bitmap.from_positions(o.where("o_orderpriority = '1-URGENT'"), "o_orderkey", universe(o, "o_orderkey", ORDERS))
     return b.test(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey")
 
 
@@ -125,16 +136,14 @@ def bitmap_clear(spark, sf):
 @query("SELECT event_type, count(DISTINCT u) AS count FROM (SELECT event_type, user_id AS u FROM events UNION ALL SELECT event_type, user_id + 7 AS u FROM events) GROUP BY 1")
 def bitmap_set(spark, sf):
     more = table(spark, sf, "events").withColumn("user_id", F.col("user_id") + 7)
-    return users(spark, sf).set(more, "user_id").count().select("event_type", "count")
+    return users(spark, sf, 7).set(more, "user_id").count().select("event_type", "count")
 
 
 # ---------------------------------------------------------------- run-length bitmaps
 
-ORDERS = 1 << 22
-
-
 def _orders(spark, sf) -> RleBitmap:
-    return RleBitmap.from_positions(table(spark, sf, "orders"), "o_orderkey", ORDERS, ["o_orderstatus"])
+    o = table(spark, sf, "orders")
+    return RleBitmap.from_positions(o, "o_orderkey", universe(o, "o_orderkey", ORDERS, 1), ["o_orderstatus"])
 
 
 _RUNS = "SELECT s, min(k) AS pos, count(*) AS count FROM (SELECT s, k, k - row_number() OVER (PARTITION BY s ORDER BY k) AS i FROM (SELECT DISTINCT s, k FROM {src})) GROUP BY s, i"
@@ -154,12 +163,14 @@ _IN_RANGE = "(SELECT DISTINCT o_orderstatus AS s, unnest(range(greatest(o_orderk
 
 @query(_RUNS.format(src=_IN_RANGE).replace("SELECT s, min", "SELECT s AS o_orderstatus, min", 1))
 def rle_range_build(spark, sf):
-    return RleBitmap.from_ranges(_ranges(spark, sf).where("a >= 0"), "a", "b", ORDERS, ["o_orderstatus"]).runs
+    r = _ranges(spark, sf).where("a >= 0")
+    return RleBitmap.from_ranges(r, "a", "b", universe(r, "b", ORDERS), ["o_orderstatus"]).runs
 
 
 def _two(spark, sf) -> tuple[RleBitmap, RleBitmap]:
     o = table(spark, sf, "orders")
-    return tuple(RleBitmap.from_positions(o.where(c), "o_orderkey", ORDERS) for c in ("o_orderstatus <> 'F'", "o_custkey % 2 = 0"))
+    size = universe(o, "o_orderkey", ORDERS)
+    return tuple(RleBitmap.from_positions(o.where(c), "o_orderkey", size) for c in ("o_orderstatus <> 'F'", "o_custkey % 2 = 0"))
 
 
 _X, _Y = "SELECT o_orderkey AS k FROM orders WHERE o_orderstatus <> 'F'", "SELECT o_orderkey AS k FROM orders WHERE o_custkey % 2 = 0"
@@ -202,7 +213,8 @@ def rle_density(spark, sf):
 
 @query("WITH a AS (SELECT event_type AS s, user_id AS k, max(user_id) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM events) " + _RUNS.format(src="(SELECT s, k FROM a WHERE m IS NULL OR k > m)").replace("SELECT s, min", "SELECT s AS event_type, min", 1))
 def rle_arrivals(spark, sf):
-    return RleBitmap.from_arrivals(table(spark, sf, "events"), "user_id", "event_id", SIZE, ["event_type"]).runs
+    e = table(spark, sf, "events")
+    return RleBitmap.from_arrivals(e, "user_id", "event_id", universe(e, "user_id", SIZE), ["event_type"]).runs
 
 
 # ---------------------------------------------------------------- hashes
