@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 #: A word after lower-casing A-Z: digits, a-z and everything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD_BYTES = re.compile(WORD.encode())
+#: The same as the JVM reads it fastest.
+WORD_JVM = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 #: What counts as white space inside normalised texts and around line keys.
 BLANK = r"[\x20\x09-\x0D]+"
 
@@ -26,11 +28,14 @@ _WRITTEN: dict[str, list[str]] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where that is unset (single-machine tests) a temporary folder of our own is used.
+    Only where that is unset on a single machine a temporary folder of our own is used; on a cluster
+    the setting is required.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIRS:
         _OWN_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="gistset-")
@@ -44,11 +49,11 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, row_group: int = 64 << 20) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage is cut and survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", row_group).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -64,12 +69,70 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def cleanup(spark: SparkSession) -> None:
-    """Delete every intermediate table that this session wrote."""
-    jvm = spark.sparkContext._jvm
-    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def written(spark: SparkSession) -> int:
+    """How many intermediate tables this session has written so far: a mark for ``cleanup``."""
+    return len(_WRITTEN.get(spark.sparkContext.applicationId, []))
+
+
+def cleanup(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Delete the intermediate tables that this session wrote after the mark ``since``, but for ``keep``."""
+    jvm, all_ = spark.sparkContext._jvm, _WRITTEN.get(spark.sparkContext.applicationId, [])
+    for path in all_[since:]:
+        if path not in keep:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            all_.remove(path)
+
+
+#: Bytes of a table's rows up to which it is sent to all executors; beyond, it is joined by shuffle.
+SENT_BYTES = 32 << 20
+#: Rows of one key from which on, if they are also a thousandth of all rows, the key is joined apart.
+HEAVY_ROWS = 1000
+
+
+def is_small(df: DataFrame, most: int | None = None) -> bool:
+    """Whether the rows of a written table take ``most`` bytes or less: 8 for a number, the length of what is spelt out for all else."""
+    most = SENT_BYTES if most is None else most
+    wide = [c for c, kind in df.dtypes if kind not in ("bigint", "int", "smallint", "tinyint", "double", "float", "boolean")]
+    fixed = df.count() * 8 * (len(df.columns) - len(wide) + 1)
+    if fixed > most or not wide:
+        return fixed <= most
+    return fixed + (df.agg(F.sum(F.octet_length(F.to_json(F.struct(*wide))))).first()[0] or 0) <= most
+
+
+def sent_if_small(df: DataFrame, most: int | None = None) -> DataFrame:
+    """A written table, marked to be sent to all executors if it is small."""
+    return F.broadcast(df) if is_small(df, most) else df
+
+
+def join_heavy(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, how: str = "inner") -> DataFrame:
+    """Join ``rows`` with a written table of one row a key, whose column ``size`` counts the key's rows.
+
+    A small table is sent to all executors. Of a larger one only the keys of a thousandth of all rows or
+    more are, a thousand at most, so their rows stay where they are; the others are joined by shuffle.
+    ``how``: inner, left, left_semi or left_anti.
+    """
+    if is_small(groups):
+        return rows.join(F.broadcast(groups), keys, how)
+    least = max(HEAVY_ROWS, (groups.agg(F.sum(size)).first()[0] or 0) // 1000)
+    heavy = F.broadcast(groups.where(F.col(size) >= least))
+    rest = rows.join(heavy, keys, "left_anti").join(groups.where(F.col(size) < least), keys, how)
+    return rest if how == "left_anti" else rows.join(heavy, keys, "inner" if how == "left" else how).unionByName(rest)
+
+
+def text_hash(text: Column) -> Column:
+    """Tells rows of one id apart by their texts; a null text has a hash of its own kind."""
+    return F.xxhash64(text)
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs``, all columns, whose id and text are not among ``k, r`` of ``gone``; rows with a null id stay.
+
+    Few rows that go are sent to the scan of ``docs``, which is then not shuffled; many are joined.
+    """
+    gone = gone.where("k is not null").select(F.col("k").alias("gone_k"), F.col("r").alias("gone_r")).distinct()
+    gone = sent_if_small(materialize(gone, "gone"))
+    return docs.join(gone, (docs[id_col] == gone["gone_k"]) & (text_hash(docs[text_col]) == gone["gone_r"]), "left_anti")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
