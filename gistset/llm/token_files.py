@@ -32,7 +32,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id
 
     def run(batches: Iterable[pa.RecordBatch]):
         part, start, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer)
-        for batch in slices(batches, "t"):
+        for batch in slices(batches, "t", 1 << 20):
             raw = enc.encode(batch.column(1).to_pylist(), end_id)
             sizes = np.array([len(x) // 4 for x in raw], np.int64)
             ends = np.cumsum(sizes)
@@ -49,7 +49,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id
             own.repartitionByRange("k")
             .sortWithinPartitions("k", "t")
             .mapInArrow(run, f"`{id_col}` {kind}, part int, local_start long, n_tokens long, ids array<int>")
-            .write.option("compression", "zstd")
+            .write.option("compression", "lz4")  # run-length-encoded ids hardly shrink further
             .option("orc.bloom.filter.columns", id_col)
             .option("orc.bloom.filter.fpp", "0.01")
             .option("orc.create.index", "true")

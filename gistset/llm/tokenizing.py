@@ -62,6 +62,9 @@ _SETTLED_KEEPING = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}
 _SETTLED_DROPPING = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 
 
+_PACKS = [struct.Struct(f"<{n}I").pack for n in range(24)]
+
+
 class Splitter:
     """Cuts a text into chunks, and a chunk into the words that the tokenizer's model gets.
 
@@ -109,6 +112,8 @@ class Splitter:
         if self.pattern is None:
             return None
         if chunk.isascii():
+            if chunk.isalpha():  # letters alone are one word in either pattern
+                return [chunk.lower() if self.lower else chunk]
             return self.pattern.findall(chunk.lower() if self.lower else chunk)
         if _SETTLED.fullmatch(chunk):
             return self.settled.findall(chunk.lower() if self.lower else chunk)
@@ -117,6 +122,8 @@ class Splitter:
     @staticmethod
     def signs(piece: str) -> str:
         """A piece in the alphabet of the model."""
+        if piece.isascii() and piece.isalpha():
+            return piece
         return piece.translate(_BYTE_SIGNS) if piece.isascii() else codecs.charmap_decode(piece.encode(), "strict", _SIGN_OF_BYTE)[0]
 
     def words(self, chunk: str) -> list[str]:
@@ -128,56 +135,64 @@ class Splitter:
         return [w for w, _ in self.pre.pre_tokenize_str(chunk) if w] if self.pre else [chunk]
 
 
+class _Memory(dict):
+    """Ids of chunks; a missing one is made by ``make`` and, if short, remembered: ``most`` recent ones, and as many before them."""
+
+    def __init__(self, make, most: int, longest: int):
+        super().__init__()
+        self.make, self.most, self.longest = make, most, longest
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.older.get(key)
+        if ids is None:
+            ids = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[key] = ids
+        return ids
+
+
 class ChunkEncoder:
-    """Encodes texts; ``most`` bounds the number of remembered chunks and pieces, ``longest`` the length of each."""
+    """Encodes texts; up to ``most`` recent chunks of at most ``longest`` signs are remembered, and as many before them."""
 
-    def __init__(self, path: str, most: int = 700_000, longest: int = 64):
+    def __init__(self, path: str, most: int = 200_000, longest: int = 64):
         self.split = Splitter(path)
-        self.model = self.split.tokenizer.model
+        self.split.spec = {}  # the library holds the model
+        self.tokenize = self.split.tokenizer.model.tokenize
+        self.spaced = self.split.pattern is _ASCII_KEEPING  # a space goes with the letters after it
         #: Ids of chunks and of their pieces alike: a piece is cut into itself, so as a chunk it has the same ids.
-        self.chunks: dict[str, bytes] = {}
-        self.most, self.longest = most, longest
+        self.chunks = _Memory(self._new, most, longest)
 
     def _model(self, word: str) -> bytes:
-        tokens = self.model.tokenize(word)
-        return struct.pack(f"<{len(tokens)}I", *[x.id for x in tokens])
-
-    def _keep(self, key: str, ids: bytes) -> bytes:
-        if len(key) <= self.longest:
-            if len(self.chunks) >= self.most:
-                self.chunks.clear()
-            self.chunks[key] = ids
-        return ids
-
-    def _chunk(self, chunk: str) -> bytes:
-        if self.split.added and self.split.added.search(chunk):
-            ids = self.split.tokenizer.encode(chunk, add_special_tokens=False).ids
+        ids = [x.id for x in self.tokenize(word)]
+        return _PACKS[len(ids)](*ids) if len(ids) < len(_PACKS) else struct.pack(f"<{len(ids)}I", *ids)
+
+    def _new(self, chunk: str) -> bytes:
+        """The ids of a chunk that the memory lacks."""
+        split = self.split
+        if self.spaced and chunk[0] == " " and (word := chunk[1:]).isalpha():
+            if word.isascii():
+                return self._model(_BYTE_SIGNS[32] + word)
+            if _SETTLED.fullmatch(word):
+                return self._model(_BYTE_SIGNS[32] + split.signs(word))
+        if split.added and split.added.search(chunk):
+            ids = split.tokenizer.encode(chunk, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
-        pieces = self.split.pieces(chunk)
+        pieces = split.pieces(chunk)
         if pieces is None:
-            return b"".join(map(self._model, self.split.words(chunk)))
-        signs, out = self.split.signs, []
-        for p in pieces:
-            ids = self.chunks.get(p)
-            out.append(self._keep(p, self._model(signs(p))) if ids is None else ids)
-        return b"".join(out)
+            return b"".join(map(self._model, split.words(chunk)))
+        if len(pieces) == 1 and pieces[0] == chunk:
+            return self._model(split.signs(chunk))
+        return b"".join(map(self.chunks.__getitem__, pieces))
 
     def encode(self, texts: list[str | None], end_id: int | None = None) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers, then ``end_id``; null is empty."""
-        end, out = b"" if end_id is None else struct.pack("<I", end_id), []
-        for t in texts:
-            cut, chunks = self.split.cut(t) if t else [], self.chunks
-            parts = list(map(chunks.get, cut))
-            at = -1
-            for _ in range(parts.count(None)):
-                at = parts.index(None, at + 1)
-                c = cut[at]
-                if (ids := chunks.get(c)) is None:  # else met earlier in this text
-                    ids = self._keep(c, self._chunk(c))
-                parts[at] = ids
-            parts.append(end)
-            out.append(b"".join(parts))
-        return out
+        end = b"" if end_id is None else struct.pack("<I", end_id)
+        cut, ids_of = self.split.cut, self.chunks.__getitem__
+        return [b"".join(map(ids_of, cut(t))) + end if t else end for t in texts]
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
