@@ -10,10 +10,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, small_batches
+from .common import materialize, sent_if_small, slices, small_batches
 from .tokenizing import encoder
 
 
+#: Bytes of a row group of the written pieces, held in memory while it fills.
+_ROW_GROUP = 16 << 20
+
+
 class CapacityTree:
     """Segment tree over remaining capacities 0..size: which capacities have open windows."""
 
@@ -85,18 +89,19 @@ def plan(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int, in
     return rows
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", as_bytes: bool = False) -> DataFrame:
     """Tokenize, append ``end_id``, and cut: full windows first, then the rest of the document.
 
     Returns ``id_col, start, length, doc_tokens, ids, part, rank``; ``rank`` numbers the pieces of one
-    length within the task ``part``.
+    length within the task ``part``. ``ids`` is an array, or with ``as_bytes`` the ids as little-endian
+    unsigned 32-bit integers in one binary value. Nulls and repeats: see ``pack``.
     """
     kind = dict(docs.dtypes)[id_col]
     own = docs.select(docs[id_col].alias("k"), docs[text_col].alias("t"))
 
     def run(batches: Iterable[pa.RecordBatch]):
         part, enc, seen = TaskContext.get().partitionId(), encoder(tokenizer), np.zeros(size + 1, np.int64)
-        for batch in slices(batches, "t"):
+        for batch in slices(batches, "t", 1 << 20):
             raw = enc.encode(batch.column(1).to_pylist(), end_id)
             n = np.array([len(x) // 4 for x in raw], np.int64)
             pieces = -(-n // size)
@@ -108,19 +113,24 @@ def cut_pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int =
             rank = np.empty(len(doc), np.int64)
             rank[order] = np.arange(len(doc)) - np.searchsorted(by, by) + seen[by]
             seen += np.bincount(length, minlength=size + 1)
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(raw), "<i4")))
+            ends, whole = np.concatenate([[0], np.cumsum(length)]).astype(np.int32), b"".join(raw)
+            if as_bytes:
+                ids = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(4 * ends), pa.py_buffer(whole)])
+            else:
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(whole, "<i4")))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(n[doc]), ids, pa.array(np.full(len(doc), part, np.int32)), pa.array(rank)],
                 [id_col, "start", "length", "doc_tokens", "ids", "part", "rank"],
             )
 
-    return own.mapInArrow(run, f"`{id_col}` {kind}, start long, length long, doc_tokens long, ids array<int>, part int, rank long")
+    return own.mapInArrow(run, f"`{id_col}` {kind}, start long, length long, doc_tokens long, ids {'binary' if as_bytes else 'array<int>'}, part int, rank long")
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", as_bytes: bool = False) -> DataFrame:
     """Pack all documents into windows of at most ``size`` tokens.
 
-    Returns a row per piece: ``id_col, start, length, doc_tokens, sequence_id, offset, ids``.
+    Returns a row per piece: ``id_col, start, length, doc_tokens, sequence_id, offset, ids`` (an array, or
+    with ``as_bytes`` a binary value, see ``cut_pieces``).
     Documents are cut into full windows, which stand alone, and one rest, which best-fit decreasing
     puts into the tightest open window. The driver sees one count per piece length (at most ``size``
     rows), never the pieces; ranks among pieces of one length come from per-task counts, so the
@@ -133,37 +143,29 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, id_
     """
     spark = docs.sparkSession
     with small_batches(spark):
-        pieces = materialize(cut_pieces(docs, tokenizer, size, end_id, id_col, text_col), "pieces")
+        pieces = materialize(cut_pieces(docs, tokenizer, size, end_id, id_col, text_col, as_bytes), "pieces", _ROW_GROUP)
     by_part = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per task
     before = materialize(by_part.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))), "piece-counts")
     counts = {r["length"]: r["n"] for r in before.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     n_full = counts.pop(size, 0)
-    rows = [(ln, a, b, first + n_full, each, off) for ln, a, b, first, each, off in plan(counts, size)]
+    rows = [(ln, a, first + n_full, each, off) for ln, a, _, first, each, off in plan(counts, size)]
     if n_full:
-        rows.append((size, 0, n_full, 0, 1, 0))
+        rows.append((size, 0, 0, 1, 0))
     # lengths are at most `size` and each makes a few rows, whatever the number of documents
-    rows.sort()
-    table = np.array(rows, np.int64).reshape(-1, 6).T
-    kind = dict(docs.dtypes)[id_col]
-    stride = int(max((b for _, _, b, *_ in rows), default=0)) + 1
-
-    def place(batches: Iterable[pa.RecordBatch]):
-        low = table[0] * stride + table[1]
-        for batch in batches:
-            length, rank = (batch.column(i).to_numpy() for i in (2, 5))
-            i = np.searchsorted(low, length * stride + rank, "right") - 1
-            k = rank - table[1][i]
-            seq, off = table[3][i] + k // table[4][i], table[5][i] + k % table[4][i] * length
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(seq), pa.array(off)], [id_col, "start", "length", "doc_tokens", "ids", "sequence_id", "offset"])
-
-    before = before.select("length", "part", "before")
-    ranked = pieces.join(F.broadcast(before) if before.count() < 200_000 else before, ["length", "part"]).select(id_col, "start", "length", "doc_tokens", "ids", (F.col("before") + F.col("rank")).alias("rank"))
-    return ranked.mapInArrow(place, f"`{id_col}` {kind}, start long, length long, doc_tokens long, ids array<int>, sequence_id long, offset long")
+    by_length: dict[int, list[tuple[int, ...]]] = {}
+    for ln, *place in sorted(rows):
+        by_length.setdefault(ln, []).append(tuple(place))
+    places = spark.createDataFrame(list(by_length.items()), "length long, places array<struct<low:long,first:long,each:long,off:long>>")
+    ranked = pieces.join(sent_if_small(before.select("length", "part", "before")), ["length", "part"]).withColumn("rank", F.col("before") + F.col("rank"))
+    placed = ranked.join(F.broadcast(places), "length").withColumn("at", F.element_at(F.filter("places", lambda p: p["low"] <= F.col("rank")), -1))
+    k = F.col("rank") - F.col("at.low")
+    sequence = F.col("at.first") + F.floor(k / F.col("at.each"))
+    return placed.select(id_col, "start", "length", "doc_tokens", "ids", sequence.cast("long").alias("sequence_id"), (F.col("at.off") + F.pmod(k, F.col("at.each")) * F.col("length")).cast("long").alias("offset"))
 
 
 def sequences(packed: DataFrame, size: int = 2048, pad_id: int = 0) -> DataFrame:
-    """The windows themselves: ``sequence_id, n_tokens, ids``, padded to ``size`` unless filled to a power of two."""
+    """The windows themselves, of ``packed`` with ids as arrays: ``sequence_id, n_tokens, ids``, padded to ``size`` unless filled to a power of two."""
     whole = packed.groupBy("sequence_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("offset", "ids"))), lambda x: x["ids"])).alias("own"))
     n = F.size("own")
     pad = F.when(F.bit_count(n) == 1, 0).otherwise(size - n)
