@@ -5,103 +5,128 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, ascii_lower, materialize, same_row
+from .common import WORD_JVM, ascii_lower, is_small, materialize, same_row, sent_if_small, text_hash, without_rows
 
-#: Up to so many rows of a short table are sent to all executors; beyond, it is joined by shuffle.
-SMALL_ROWS = 200_000
+#: Stands behind a document's last word in the index; no word of a text reads so.
+END = "\x00"
 
 
 def word_list(text: Column) -> Column:
     """The words of a text as an array; a null text has none."""
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
-
-
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= SMALL_ROWS else df
+    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD_JVM), F.lit(0))
 
 
 def windows_of(items: DataFrame, size: int = 13, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """Distinct windows of ``size`` consecutive item words: ``window, m, items``.
 
     A shorter item, but not one without words, is one window. ``items`` lists, as sorted strings,
-    the ids of all items that hold the window.
+    the ids of all items that hold the window. An item without an id, or with a null text, has no windows;
+    texts under one id are one item.
     """
-    words = items.select(F.coalesce(items[id_col].cast("string"), F.lit("null")).alias("item"), word_list(items[text_col]).alias("w")).where(F.size("w") > 0)
+    words = items.where(items[id_col].isNotNull()).select(items[id_col].cast("string").alias("item"), word_list(items[text_col]).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - size + 1, F.lit(1)))
     each = words.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, size))).alias("window"))
     return each.groupBy("window").agg(F.array_sort(F.collect_set("item")).alias("items")).select("window", F.size("window").alias("m"), "items")
 
 
-def _tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    own = docs.select(docs[id_col].alias("k"), F.xxhash64(docs[text_col]).alias("r"), word_list(docs[text_col]).alias("w"))
-    return own.select("k", "r", F.posexplode("w").alias("pos", "term"))
-
+def build_index(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Positional inverted index of the training documents over the words that ``windows`` ask for.
 
-def build_index(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Positional postings of the terms that searches start from, and each window's two rarest terms.
-
-    The corpus frequency of every benchmark word is counted over all documents (a narrow count,
-    summed before the shuffle). A window is looked up by its rarest word and then its second
-    rarest; postings ``term, k, r, pos`` of these words only are written, since no search reads
-    others. Returns (postings, windows with ``t1, o1, t2, o2``: words and their offsets).
+    One scan: each document's words are numbered, and those of the test vocabulary go as postings
+    ``term, k, r, pos`` into lists sorted by term, which are written once and serve every search. Behind
+    each document's last word the index holds ``END``, so that its length is a posting too.
+    Returns (postings, terms, lengths): terms ``word, term, c`` with the number of occurrences in all
+    documents (0 where there are none), lengths ``k, r, n``, a row per row of ``docs``.
+    """
+    found = windows.select(F.explode("window").alias("word")).distinct()
+    vocabulary = materialize(found.select("word", F.xxhash64("word").alias("term")), "vocabulary")
+    asked = vocabulary.unionByName(docs.sparkSession.range(1).select(F.lit(END).alias("word"), F.lit(0).cast("long").alias("term")))
+    own = docs.select(docs[id_col].alias("k"), text_hash(docs[text_col]).alias("r"), F.array_append(word_list(docs[text_col]), F.lit(END)).alias("w"))
+    words = own.select("k", "r", F.posexplode("w").alias("pos", "word"))
+    hits = words.join(F.broadcast(asked) if is_small(vocabulary) else asked, "word").select("term", "k", "r", "pos")
+    written = materialize(hits.sortWithinPartitions("term"), "postings")
+    postings = written.where("term <> 0")
+    counts = materialize(postings.groupBy("term").agg(F.count(F.lit(1)).alias("c")), "term-counts")
+    terms = vocabulary.join(counts, "term", "left").select("word", "term", F.coalesce("c", F.lit(0)).alias("c"))
+    return postings, materialize(terms, "terms"), written.where("term = 0").select("k", "r", F.col("pos").alias("n"))
+
+
+def _offsets(windows: DataFrame, terms: DataFrame) -> DataFrame:
+    """``window, m, items, by`` where ``by`` lists (c, o, term), the window's words from the rarest on with their offsets."""
+    placed = windows.select("window", "m", "items", F.posexplode("window").alias("o", "word")).join(sent_if_small(terms), "word")
+    return placed.groupBy("window", "m", "items").agg(F.array_sort(F.collect_list(F.struct("c", "o", "term"))).alias("by"))
+
+
+def _found_at(postings: DataFrame, asked: DataFrame) -> DataFrame:
+    """The distinct places ``ak, ar, term_asked, want`` of a written table at which the index has a posting.
+
+    Few places are sent to the index. Else only lists that are asked for, and documents of which a place is
+    asked where these are few, go into the join.
     """
-    placed = windows.select("window", "m", "items", F.posexplode("window").alias("o", "term"))
-    vocabulary = placed.select("term").distinct()
-    n_words = vocabulary.count()
-    counts = _tokens(docs, id_col, text_col).select("term").join(_small(vocabulary, n_words), "term").groupBy("term").agg(F.count(F.lit(1)).alias("c"))
-    counts = materialize(counts, "term-counts")
-    # a window with a word that no document holds occurs nowhere
-    ranked = placed.join(_small(counts, n_words), "term").groupBy("window", "m", "items").agg(F.array_sort(F.collect_list(F.struct("c", "o", "term"))).alias("by")).where(F.size("by") == F.col("m"))
-    second = F.get("by", F.lit(1))
-    plan = materialize(ranked.select("window", "m", "items", F.get("by", F.lit(0))["term"].alias("t1"), F.get("by", F.lit(0))["o"].alias("o1"), second["term"].alias("t2"), second["o"].alias("o2")), "windows")
-    terms = plan.select(F.explode(F.array_compact(F.array("t1", "t2"))).alias("term")).distinct()
-    postings = _tokens(docs, id_col, text_col).join(_small(terms, n_words), "term").select("term", "k", "r", "pos")
-    return materialize(postings, "postings"), plan
-
-
-def candidates(postings: DataFrame, plan: DataFrame, slop: int = 0) -> DataFrame:
-    """Places where a window's two rarest words stand at their offsets, or within ``slop`` words of that.
-
-    Each list is adjusted by its word's offset, so both name the window's start; lists are
-    intersected by an equality join on (document, start), or by start buckets where ``slop`` > 0.
-    Returns ``k, r, start, gap, window, m, items``; ``gap`` is the distance of the second word from its place.
+    asked = materialize(asked.select("ak", "ar", "term_asked", "want").distinct(), "asked-places")
+    if is_small(asked):  # one number a place is probed faster than four
+        keyed = F.broadcast(asked.withColumn("place", F.xxhash64("ak", "ar", "term_asked", "want")))
+        found = postings.join(keyed, (F.xxhash64("k", "r", "term", "pos") == F.col("place")) & (F.col("term_asked") == F.col("term")) & F.col("ak").eqNullSafe(F.col("k")) & (F.col("ar") == F.col("r")) & (F.col("want") == F.col("pos")))
+        return found.select("ak", "ar", "term_asked", "want").distinct()
+    lists = materialize(asked.select("term_asked").distinct(), "asked-lists")
+    own = materialize(asked.select("ak", "ar").distinct(), "asked-documents")
+    near = postings.join(sent_if_small(lists), F.col("term") == F.col("term_asked"), "left_semi")
+    if is_small(own):
+        near = near.join(F.broadcast(own), F.col("ak").eqNullSafe(F.col("k")) & (F.col("ar") == F.col("r")), "left_semi")
+    here = (asked["term_asked"] == near["term"]) & asked["ak"].eqNullSafe(near["k"]) & (asked["ar"] == near["r"]) & (asked["want"] == near["pos"])
+    return asked.join(near, here, "left_semi")
+
+
+def phrase_places(postings: DataFrame, terms: DataFrame, windows: DataFrame) -> DataFrame:
+    """Exact occurrences of windows, ``k, r, start, m, items``, from the index alone.
+
+    A window starts from the list of its rarest word. Each list is adjusted by its word's offset, so
+    all name the window's start; the second rarest word's list is intersected by an equality join on
+    (document, place), and where both agree the lists of all further words are asked for the places
+    that the window needs. A window with a word that no document holds occurs nowhere.
     """
-    n = plan.count()
-    first = postings.join(_small(plan, n), F.col("term") == F.col("t1")).select("k", "r", (F.col("pos") - F.col("o1")).alias("start"), "window", "m", "items", "t2", "o2")
-    first = first.where("start >= 0") if slop == 0 else first
-    alone = first.where("t2 is null").select("k", "r", "start", F.lit(0).alias("gap"), "window", "m", "items")
-    a = first.where("t2 is not null").withColumn("want", F.col("start") + F.col("o2"))
-    b = postings.select(F.col("term").alias("t2"), "k", "r", F.col("pos").alias("at"))
-    if slop:
-        width = slop + 1
-        a = a.withColumn("bucket", F.explode(F.array(*[F.floor(F.col("want") / width) + i for i in (-1, 0, 1)])))
-        b = b.withColumn("bucket", F.floor(F.col("at") / width))
-        near = (a["bucket"] == b["bucket"]) & (F.abs(a["want"] - b["at"]) <= slop)
-    else:
-        near = a["want"] == b["at"]
-    both = a.join(b, same_row(a, b) & (a["t2"] == b["t2"]) & near)
-    return both.select(a["k"], a["r"], "start", (F.col("at") - F.col("want")).cast("int").alias("gap"), "window", "m", "items").unionByName(alone)
+    plan = _offsets(windows, terms).where(~F.exists("by", lambda x: x["c"] == 0)).withColumn("id", F.xxhash64("window", "m"))
+    word = lambda i: F.get("by", F.lit(i))
+    plan = materialize(plan.select("id", "m", "items", word(0)["term"].alias("t1"), word(0)["o"].alias("o1"), word(1)["term"].alias("t2"), word(1)["o"].alias("o2"), F.slice("by", 3, 1 << 20).alias("others")), "windows")
+    small = is_small(plan)
+    part = lambda *columns: F.broadcast(plan.select(*columns)) if small else plan.select(*columns)
+    first = postings.join(part("id", "t1", "o1", "t2", "o2"), F.col("term") == F.col("t1")).where("pos >= o1").select("id", F.col("k").alias("ak"), F.col("r").alias("ar"), (F.col("pos") - F.col("o1")).alias("start"), F.col("t2").alias("term_asked"), (F.col("pos") - F.col("o1") + F.col("o2")).alias("want"))
+    first = materialize(first.distinct(), "first-places")
+    place = ["ak", "ar", "term_asked", "want"]
+
+    def standing(wanted: DataFrame) -> DataFrame:
+        """Rows whose place the index holds."""
+        there = materialize(_found_at(postings, wanted.where("term_asked is not null")), "found-places")
+        there = there.select(*[F.col(c).alias(f"f_{c}") for c in place])
+        return wanted.join(sent_if_small(there), [F.col(c).eqNullSafe(F.col(f"f_{c}")) if c == "ak" else F.col(c) == F.col(f"f_{c}") for c in place], "left_semi")
+
+    two = standing(first).unionByName(first.where("term_asked is null"))
+    two = materialize(two.select("id", "ak", "ar", "start"), "candidates")
+    wanted = two.join(part("id", "others"), "id").select("id", "ak", "ar", "start", F.size("others").alias("left"), F.explode("others").alias("x"))
+    wanted = materialize(wanted.select("id", "ak", "ar", "start", "left", F.col("x.term").alias("term_asked"), (F.col("start") + F.col("x.o")).alias("want")), "wanted-places")
+    full = standing(wanted).groupBy("id", "ak", "ar", "start", "left").agg(F.count(F.lit(1)).alias("n")).where("n = left").select("id", "ak", "ar", "start")
+    short = two.join(part("id", F.size("others").alias("left")).where("left = 0"), "id", "left_semi")
+    return full.unionByName(short).join(part("id", "m", "items"), "id").select(F.col("ak").alias("k"), F.col("ar").alias("r"), "start", "m", "items")
 
 
 def phrase_matches(docs: DataFrame, items: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Exact occurrences of item windows in each row of ``docs``: ``id_col, n_words, matches``.
+    """Exact occurrences of item windows in each row of ``docs``: ``id_col, n_words, text_hash, matches``.
 
     ``matches`` holds (start, m, items), one for each place where a window's words stand; it is
-    empty for clean documents, and every row of ``docs`` comes back. Places come from the index;
-    each is then held against the document's words.
+    empty for clean documents, and every row of ``docs`` comes back. Places come from the index alone,
+    and so do the numbers of words: texts are split once and never moved.
 
-    Null ids and repeated rows come back as they are; null or word-less texts have 0 words and no
-    match; with no items nothing matches; columns other than the named are not read.
+    Null ids and repeated rows come back as they are, each with the places of its own text; null or
+    word-less texts have 0 words and no match; with no items nothing matches; columns other than the
+    named are not read.
     """
     windows = materialize(windows_of(items, size, item_id, item_text), "item-windows")
-    postings, plan = build_index(docs, windows, id_col, text_col)
-    found = candidates(postings, plan).distinct().groupBy("k", "r").agg(F.collect_list(F.struct("start", "m", "window", "items")).alias("places"))
-    own = docs.select(docs[id_col].alias("k"), F.xxhash64(docs[text_col]).alias("r"), docs[text_col].alias("t"))
-    both = own.join(found, same_row(own, found), "left").select(own["k"], word_list(F.col("t")).alias("w"), "places")
-    real = F.filter("places", lambda c: F.slice("w", c["start"] + 1, c["m"]) == c["window"])
-    slim = F.transform(real, lambda c: F.struct(c["start"].alias("start"), c["m"].alias("m"), c["items"].alias("items")))
+    postings, terms, lengths = build_index(docs, windows, id_col, text_col)
+    places = phrase_places(postings, terms, windows).groupBy("k", "r").agg(F.collect_list(F.struct("start", "m", "items")).alias("matches"))
+    places = sent_if_small(materialize(places, "matches"))
     none = F.expr("cast(array() as array<struct<start:int,m:int,items:array<string>>>)")
-    return both.select(F.col("k").alias(id_col), F.size("w").cast("long").alias("n_words"), F.coalesce(F.when(F.size("places") > 0, slim), none).alias("matches"))
+    both = lengths.join(places, same_row(lengths, places), "left")
+    return both.select(lengths["k"].alias(id_col), F.col("n").cast("long").alias("n_words"), lengths["r"].alias("text_hash"), F.coalesce("matches", none).alias("matches"))
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, slop: int, size: int = 13, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", missing: int = 0) -> DataFrame:
@@ -114,27 +139,29 @@ def proximity_matches(docs: DataFrame, items: DataFrame, slop: int, size: int =
     window. Equal rows of ``docs`` give their places once.
     """
     windows = materialize(windows_of(items, size, item_id, item_text), "item-windows")
-    placed = windows.select("window", "m", "items", F.posexplode("window").alias("o", "term"))
-    vocabulary = placed.select("term").distinct()
-    n_words = vocabulary.count()
-    counts = _tokens(docs, id_col, text_col).select("term").join(_small(vocabulary, n_words), "term").groupBy("term").agg(F.count(F.lit(1)).alias("c"))
-    counts = materialize(counts, "term-counts")
-    by = placed.join(_small(counts, n_words), "term", "left").groupBy("window", "m", "items").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "o", "term"))).alias("by"))
-    plan = materialize(by.select("window", "m", "items", F.explode(F.slice("by", 1, missing + 1)).alias("x")).where("x.c > 0").select("window", "m", "items", "x.o", "x.term"), "windows")
-    places = F.explode(F.array(*[F.col("pos") - F.col("o") + d for d in range(-slop, slop + 1)]))
-    found = _tokens(docs, id_col, text_col).join(_small(plan, plan.count()), "term").select("k", "r", places.alias("start"), "window", "m", "items").distinct()
-    own = docs.select(docs[id_col].alias("k"), F.xxhash64(docs[text_col]).alias("r"), word_list(docs[text_col]).alias("w"))
-    # equal words take the first free place each: their ranges have one length, so none is lost
-    near = F.array(*[F.lit(d) for d in range(-slop, slop + 1)])
-    free = lambda taken, j: F.filter(F.transform(near, lambda d: F.col("start") + j + d), lambda at: (F.get("w", at) == F.get("window", j)) & ~F.array_contains(taken, at))
-    taken = F.aggregate(F.sequence(F.lit(0), F.col("m") - 1), F.expr("cast(array() as array<int>)"), lambda x, j: F.concat(x, F.slice(free(x, j), 1, 1)))
-    both = own.join(found, same_row(own, found)).select(own["k"], "start", (F.col("m") - F.size(taken)).alias("n_missing"), "m", "window", "items")
-    real = both.where((F.col("n_missing") <= missing) & (F.col("n_missing") < F.col("m")))
+    postings, terms, _ = build_index(docs, windows, id_col, text_col)
+    by = materialize(_offsets(windows, terms), "windows")
+    starts = by.select("window", "m", "items", F.explode(F.slice("by", 1, missing + 1)).alias("x")).where("x.c > 0").select("window", "m", "items", "x.o", "x.term")
+    shifts = F.explode(F.array(*[F.col("pos") - F.col("o") + d for d in range(-slop, slop + 1)]))
+    found = postings.join(sent_if_small(materialize(starts, "starts")), "term").select("k", "r", shifts.alias("start"), "window", "m", "items").distinct()
+    found = materialize(found, "candidates")
+    # each word's list within the slop of its place; equal words take the first free place each: their ranges have one length, so none is lost
+    asked = found.select(F.col("k").alias("ak"), F.col("r").alias("ar"), "start", "m", "window", "items", F.posexplode("window").alias("o", "word")).join(sent_if_small(terms), "word")
+    asked = asked.withColumn("at", F.explode(F.array(*[F.col("start") + F.col("o") + d for d in range(-slop, slop + 1)])))
+    p = postings.distinct()
+    there = p.join(asked.withColumnRenamed("term", "want_term"), (F.col("want_term") == p["term"]) & F.col("ak").eqNullSafe(p["k"]) & (F.col("ar") == p["r"]) & (F.col("at") == p["pos"]))
+    spots = there.groupBy("k", "r", "start", "m", "window", "items", "o").agg(F.array_sort(F.collect_list("at")).alias("spots"))
+    lists = spots.groupBy("k", "r", "start", "m", "window", "items").agg(F.array_sort(F.collect_list(F.struct("o", "spots"))).alias("lists"))
+    taken = F.aggregate("lists", F.expr("cast(array() as array<int>)"), lambda x, y: F.concat(x, F.slice(F.array_except(y["spots"], x), 1, 1)))
+    real = lists.withColumn("n_missing", F.col("m") - F.size(taken)).where((F.col("n_missing") <= missing) & (F.col("n_missing") < F.col("m")))
     return real.select(F.col("k").alias(id_col), "start", "n_missing", "window", "items").distinct()
 
 
 def judge(matches: DataFrame, id_col: str = "doc_id", share: int = 20) -> DataFrame:
-    """Contamination of each document: covered words, items, and whether 1/``share`` of the words or more are covered."""
+    """Contamination of each document: covered words, items, and whether 1/``share`` of the words or more are covered.
+
+    A row per row of ``matches``; without a match nothing is covered, and no words are no contamination.
+    """
     hit = F.size(F.array_distinct(F.flatten(F.transform("matches", lambda m: F.sequence(m["start"], m["start"] + m["m"] - 1)))))
     items = F.array_sort(F.array_distinct(F.flatten(F.transform("matches", lambda m: m["items"]))))
     out = matches.select(id_col, "n_words", hit.cast("long").alias("n_hit"), items.alias("items"))
@@ -142,6 +169,11 @@ def judge(matches: DataFrame, id_col: str = "doc_id", share: int = 20) -> DataFr
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, all columns; rows with a null id stay."""
-    bad = judge(phrase_matches(docs, items, id_col=id_col, text_col=text_col), id_col).where("contaminated").select(F.col(id_col).alias("bad_id"))
-    return docs.join(bad, docs[id_col] == bad["bad_id"], "left_anti")
+    """The rows of ``docs`` that are not contaminated, all columns.
+
+    Rows are judged by their own texts, also where an id repeats; rows with a null id stay; with no
+    items, or no documents, nothing goes.
+    """
+    found = phrase_matches(docs, items, id_col=id_col, text_col=text_col).where(F.size("matches") > 0)
+    bad = judge(found.select(F.struct(F.col(id_col).alias("k"), F.col("text_hash").alias("r")).alias("row"), "n_words", "matches"), "row").where("contaminated")
+    return without_rows(docs, bad.select("row.k", "row.r"), id_col, text_col)
