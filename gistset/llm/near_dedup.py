@@ -9,15 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, words_of
+from .common import is_small, join_heavy, materialize, slices, text_hash, without_rows, words_of
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Parity bits of a shingle set.
 _PARITY = 1024
 #: Pairs of one text that are compared together; a text in more pairs is sent to several tasks.
 _PAIRS_TOGETHER = 1000
-#: Ids of texts to compare up to which they are sent to the scan of the texts.
-_SMALL_ROWS = 1_000_000
+#: Members of a bucket that one task compares with all others of the bucket.
+_BLOCK = 1000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -48,6 +48,16 @@ def shingles(texts: list[str | None], width: int = 5) -> list[np.ndarray]:
     return out
 
 
+def occurrences(s: np.ndarray, weighted: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct shingles, their weights, elements compared): sets weigh each shingle one; multisets compare the j-th occurrence of a shingle with the j-th."""
+    e, c = np.unique(s, return_counts=True)
+    if not weighted:
+        return e, np.ones(len(e)), e
+    nth = np.arange(len(s)) - np.repeat(np.cumsum(c) - c, c)
+    with np.errstate(over="ignore"):
+        return e, c.astype(np.float64), np.sort(mix(np.repeat(e, c) + mix(nth.astype(np.uint64))))
+
+
 def prob_minhash(elements: np.ndarray, weights: np.ndarray, doc: np.ndarray, n_docs: int, k: int) -> np.ndarray:
     """ProbMinHash signatures (n_docs, k) of weighted sets; equal registers estimate the probability Jaccard.
 
@@ -82,19 +92,19 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     A band's hash includes the band's number. Each distinct shingle flips one of 1024 parity bits, so
     two sets differ in at least as many shingles as their parity bits do.
 
-    ``weighted``: shingles weigh as often as they occur; else each weighs one, and the probability
-    Jaccard is the Jaccard similarity of the sets.
+    ``weighted``: shingles weigh as often as they occur, and everything but the signature is of the multiset; else
+    each weighs one, and the probability Jaccard is the Jaccard similarity of the sets. A null or word-less
+    text has n = 0; null and repeated ids pass through.
     """
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterable[pa.RecordBatch]):
         for batch in slices(batches, "t"):
-            each = [np.unique(s, return_counts=True) for s in shingles(batch.column(1).to_pylist(), width)]
-            n = np.array([len(s) for s, _ in each], np.int64)
-            doc = np.repeat(np.arange(len(n)), n)
-            e = np.concatenate([s for s, _ in each])
-            w = np.concatenate([c for _, c in each]).astype(np.float64) if weighted else np.ones(len(e))
-            sig = prob_minhash(e, w, doc, len(n), bands * rows).reshape(len(n), bands, rows)
+            each = [occurrences(s, weighted) for s in shingles(batch.column(1).to_pylist(), width)]
+            distinct = np.array([len(x) for x, _, _ in each], np.int64)
+            n = np.array([len(x) for _, _, x in each], np.int64)
+            sig = prob_minhash(np.concatenate([x for x, _, _ in each]), np.concatenate([x for _, x, _ in each]), np.repeat(np.arange(len(n)), distinct), len(n), bands * rows).reshape(len(n), bands, rows)
+            e, doc = np.concatenate([x for _, _, x in each]), np.repeat(np.arange(len(n)), n)
             with np.errstate(over="ignore"):
                 band = np.arange(bands, dtype=np.uint64)[None, :] * _ODD
                 for j in range(rows):
@@ -112,13 +122,13 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     return own.mapInArrow(run, f"`{id_col}` {kind}, n long, f1 long, f2 long, bands array<long>, parity array<long>")
 
 
-def shingle_sets(docs: DataFrame, width: int = 5) -> DataFrame:
-    """``k, s``: the distinct shingle hashes of documents ``k, t``."""
+def shingle_sets(docs: DataFrame, width: int = 5, weighted: bool = False) -> DataFrame:
+    """``k, s``: the distinct shingle hashes of documents ``k, t``, or the hashes of all their occurrences."""
     kind = dict(docs.dtypes)["k"]
 
     def run(batches: Iterable[pa.RecordBatch]):
         for batch in slices(batches, "t"):
-            each = [np.unique(s).view(np.int64) for s in shingles(batch.column(1).to_pylist(), width)]
+            each = [occurrences(s, weighted)[2].view(np.int64) for s in shingles(batch.column(1).to_pylist(), width)]
             ends = np.cumsum([0, *map(len, each)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(each)))], ["k", "s"])
 
@@ -129,7 +139,7 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``a, b``: ``k, label`` with the smallest vertex as label, for vertices with edges.
 
     Alternating large-star and small-star steps; each step's edges are written to the shared folder,
-    and only a count and a checksum come to the driver.
+    and only a count and a checksum come to the driver. An edge from a vertex to itself is none; no edges, no rows.
     """
 
     def checksum(e: DataFrame):
@@ -155,7 +165,7 @@ def components(edges: DataFrame) -> DataFrame:
 def attach_sets(pairs: DataFrame, sets: DataFrame, side: str) -> DataFrame:
     """Add ``s<side>``, the shingle set of the text named in column ``side``.
 
-    A text in many pairs is copied once for each ``_PAIRS_TOGETHER`` of them, so its pairs spread over tasks.
+    No pair is lost: every text of ``pairs`` is in ``sets``. A text in many pairs is copied once for each ``_PAIRS_TOGETHER`` of them, so its pairs spread over tasks.
     """
     other = "b" if side == "a" else "a"
     fan = pairs.groupBy(side).agg(F.ceil(F.count(F.lit(1)) / _PAIRS_TOGETHER).cast("int").alias("fan"))
@@ -163,32 +173,20 @@ def attach_sets(pairs: DataFrame, sets: DataFrame, side: str) -> DataFrame:
     return pairs.join(fan, side).withColumn("salt", F.pmod(F.xxhash64(other), "fan").cast("int")).join(copies, [side, "salt"]).drop("salt", "fan")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: tuple[int, int] = (4, 5), bands: int = 24, rows: int = 4, weighted: bool = False) -> DataFrame:
-    """A row per row of ``docs``: ``id_col, class_id``, the smallest id among texts linked by near-duplicates.
-
-    Two texts are linked where the Jaccard similarity of their shingle sets is at least the
-    ``threshold`` fraction; links come from 24 bands of 4 registers (a pair at 0.8 is missed with
-    probability below 1e-5) and every link is verified on whole shingle sets.
-
-    Texts with equal shingle sets are one vertex. A bucket links its members to its smallest; once
-    these links are verified and joined into components, only pairs of different components in a
-    bucket can still change anything, and all of those are compared too. A pair's sets are fetched
-    only if sizes and parity bits leave room for the threshold, which loses no link: a similarity
-    of p/q or more needs a symmetric difference of at most (q - p) / (q + p) of the two sizes, and the
-    parity bits that differ bound that difference from below.
-
-    Rows with a null id are not compared (class null); a text without words is a class of its own;
-    an id that repeats with several texts is linked through any of them; an empty table gives no
-    rows; other columns are not read.
-    """
-    own = docs.select(docs[id_col].alias("k"), docs[text_col].alias("t"))
-    rows_of = materialize(sketches(own, "k", "t", width, bands, rows, weighted), "sketches")
+def _classes(docs: DataFrame, id_col: str, text_col: str, width: int, threshold: tuple[int, int], bands: int, rows: int, weighted: bool) -> DataFrame:
+    """``k, r, vertex, class`` of each row: its text's vertex and the smallest vertex linked to it; null where nothing is compared."""
+    own = docs.select(docs[id_col].alias("k"), text_hash(docs[text_col]).alias("r"), docs[text_col].alias("t"))
+    sketched = sketches(own.select(F.struct("k", "r").alias("row"), "t"), "row", "t", width, bands, rows, weighted)
+    rows_of = materialize(sketched.select("row.k", "row.r", "n", "f1", "f2", "bands", "parity"), "sketches")
     real = rows_of.where("n > 0 and k is not null")
-    first = F.min(F.struct("k", "n", "bands", "parity")).alias("first")
-    vertices = materialize(real.groupBy("f1", "f2").agg(first).select("f1", "f2", F.col("first.k").alias("v"), "first.n", "first.bands", "first.parity"), "vertices")
-    slots = vertices.select("v", F.explode("bands").alias("h")).repartition("h")  # one exchange, used twice
-    shared = slots.groupBy("h").agg(F.min("v").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
-    crowded = materialize(slots.join(shared, "h"), "buckets")
+    first = F.min(F.struct("k", "r", "n", "bands", "parity")).alias("first")
+    vertices = materialize(real.groupBy("f1", "f2").agg(first).select("f1", "f2", "first.*"), "vertices")
+    # a vertex is named by its smallest id; where one id has several texts, by id and text
+    plain = vertices.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty()
+    vertices = vertices.withColumn("v", F.col("k") if plain else F.struct("k", "r"))
+    slots = vertices.select("v", F.explode("bands").alias("h"))
+    shared = materialize(slots.groupBy("h").agg(F.min("v").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1"), "hubs")
+    crowded = materialize(join_heavy(slots, shared, ["h"], "size"), "buckets")
     one, many = threshold
 
     def shape(side: str) -> DataFrame:
@@ -202,9 +200,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def verified(pairs: DataFrame, tag: str) -> DataFrame:
         """Of ``a, b`` those whose sets are similar enough."""
         pairs = materialize(pairs.select("a", "b").distinct(), f"{tag}-pairs")
-        named = materialize(pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct(), f"{tag}-texts")
-        named = F.broadcast(named) if named.count() <= _SMALL_ROWS else named
-        sets = materialize(shingle_sets(own.join(named, own["k"] == named["v"], "left_semi"), width), f"{tag}-sets")
+        named = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct()
+        named = materialize(named.join(vertices.select("v", F.col("k").alias("nk"), F.col("r").alias("nr")), "v"), f"{tag}-texts")
+        named = F.broadcast(named) if is_small(named) else named
+        texts = own.join(named, (own["k"] == named["nk"]) & (own["r"] == named["nr"])).select(F.col("v").alias("k"), "t").dropDuplicates(["k"])
+        sets = materialize(shingle_sets(texts, width, weighted), f"{tag}-sets")
         both = attach_sets(attach_sets(pairs, sets, "a"), sets, "b")
         common = F.size(F.array_intersect("sa", "sb"))
         return materialize(both.where(common * many >= (F.size("sa") + F.size("sb") - common) * one).select("a", "b"), f"{tag}-links")
@@ -213,21 +213,58 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = verified(stars.join(shape("b"), "b").join(shape("a"), "a").where(may_link("na", "nb", "pa", "pb")), "star")
     labels = materialize(components(links), "labels")
     placed = crowded.select("h", "v").join(labels.withColumnRenamed("k", "v"), "v", "left").select("h", "v", F.coalesce("label", "v").alias("label"))
-    placed = materialize(placed.join(vertices.select("v", "n", "parity"), "v"), "placed").repartition("h")
-    mixed = placed.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("h")
-    rest = placed.join(mixed, "h", "left_semi")
-    a, b = (rest.select("h", *[F.col(c).alias(c + side) for c in ("v", "label", "n", "parity")]) for side in "ab")
-    pairs = a.join(b, "h").where((F.col("labela") < F.col("labelb")) & may_link("na", "nb", "paritya", "parityb"))
-    more = verified(pairs.select(F.col("va").alias("a"), F.col("vb").alias("b")), "rest")
+    placed = materialize(placed, "placed")
+    ends = placed.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("size")).where("x < y")
+    mixed = materialize(ends.select("h", "size", F.ceil(F.col("size") / _BLOCK).cast("int").alias("fan")), "mixed")
+    rest = join_heavy(placed, mixed, ["h"], "size").join(vertices.select("v", "n", "parity"), "v")
+    rest = materialize(rest.select("h", "v", "label", "n", "parity", "fan", F.pmod(F.xxhash64("v"), "fan").cast("int").alias("block")), "rest")
+    # a large bucket's members meet block by block, in tasks of their own
+    a = rest.select("h", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("block"), *[F.col(c).alias(f"{c}a") for c in ("v", "label", "n", "parity")])
+    b = rest.select("h", "block", *[F.col(c).alias(f"{c}b") for c in ("v", "label", "n", "parity")])
+    pairs = a.join(b, ["h", "block"]).where((F.col("labela") < F.col("labelb")) & may_link("na", "nb", "paritya", "parityb"))
+    more = verified(pairs.select(F.least("va", "vb").alias("a"), F.greatest("va", "vb").alias("b")), "rest")
     labels = components(links.unionByName(more))
-    classes = vertices.select("f1", "f2", "v").join(labels, F.col("v") == F.col("k"), "left").select("f1", "f2", F.coalesce("label", "v").alias("class"))
-    classes = materialize(classes, "classes")
-    named = real.select("k", "f1", "f2").join(classes, ["f1", "f2"]).select("k", "class")
-    other = rows_of.where("not (n > 0 and k is not null)").select("k", F.col("k").alias("class"))
-    return named.unionByName(other).select(F.col("k").alias(id_col), F.col("class").alias("class_id"))
+    classes = vertices.select("f1", "f2", "v").join(labels, F.col("v") == F.col("k"), "left").select("f1", "f2", "v", F.coalesce("label", "v").alias("class"))
+    sizes = real.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("size"))
+    classes = materialize(classes.join(sizes, ["f1", "f2"]), "classes")
+    named = join_heavy(real.select("k", "r", "f1", "f2"), classes, ["f1", "f2"], "size")
+    out = named.select("k", "r", F.col("v").alias("vertex"), "class") if plain else named.select("k", "r", F.col("v.k").alias("vertex"), F.col("class.k").alias("class"), (F.col("v") != F.col("class")).alias("other"))
+    none = F.lit(None).cast(dict(own.dtypes)["k"])
+    alone = rows_of.where("not (n > 0 and k is not null)").select("k", "r", none.alias("vertex"), none.alias("class"))
+    out = out if not plain else out.withColumn("other", F.col("vertex") != F.col("class"))
+    return out.unionByName(alone.withColumn("other", F.lit(False)))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: tuple[int, int] = (4, 5), bands: int = 24, rows: int = 4, weighted: bool = False) -> DataFrame:
+    """A row per row of ``docs``: ``id_col, class_id``, the smallest id among texts linked by near-duplicates.
+
+    Two texts are linked where the Jaccard similarity of their shingle sets is at least the
+    ``threshold`` fraction; links come from 24 bands of 4 registers (a pair at 0.8 is missed with
+    probability below 1e-5) and every link is verified on whole shingle sets. With ``weighted`` shingles
+    weigh as often as they occur, in the signatures (whose probability Jaccard is at least the weighted
+    Jaccard similarity) and in the similarity, the share of occurrences in common.
+
+    Texts with equal shingle sets are one vertex. A bucket links its members to its smallest; once
+    these links are verified and joined into components, only pairs of different components in a
+    bucket can still change anything, and all of those are compared too, a large bucket block by block in
+    many tasks. A pair's sets are fetched only if sizes and parity bits leave room for the threshold, which
+    loses no link: a similarity of p/q or more needs a symmetric difference of at most (q - p) / (q + p) of
+    the two sizes, and the parity bits that differ bound that difference from below.
+
+    Rows with a null id are not compared (class null); a text without words is a class of its own;
+    texts under one id are compared like any others, so such an id may have a class for each text; an empty
+    table gives no rows; other columns are not read.
+    """
+    found = _classes(docs, id_col, text_col, width, threshold, bands, rows, weighted)
+    return found.select(F.col("k").alias(id_col), F.coalesce("class", "k").alias("class_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its class, all columns; rows with a null id stay."""
-    gone = near_duplicates(docs, id_col, text_col).where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("gone_id"))
-    return docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")
+    """The rows of ``docs`` whose text is the first of its class, by id, all columns.
+
+    A row goes if a near-duplicate of its text, or of one linked to it, has a smaller id; other texts
+    under its id are not touched, and of near-duplicates under one id one stays. Rows with a null id and
+    word-less texts stay; an empty table gives no rows.
+    """
+    found = _classes(docs, id_col, text_col, 5, (4, 5), 24, 4, False)
+    return without_rows(docs, found.where(F.col("other") | (F.col("k") != F.col("class"))).select("k", "r"), id_col, text_col)

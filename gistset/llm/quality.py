@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import materialize, slices, text_hash, without_rows
 
 #: Model rows up to which scoring sends the model to all executors (12 bytes each); a larger model is joined by shuffle.
 BROADCAST_ROWS = 4_000_000
@@ -249,7 +249,7 @@ def _homes(home: Column, pooled: bool) -> Column:
 
 
 def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 5, folds: int = 5, quantile: float = 0.999, margin: float = 1.1, prior_bytes: int = 100, broadcast_rows: int = BROADCAST_ROWS, least: int = 20) -> DataFrame:
-    """``id_col, lang, n_bytes, perplexity, threshold, kept`` for each row of ``docs``.
+    """``id_col, lang, n_bytes, perplexity, threshold, kept, text_hash`` for each row of ``docs``.
 
     ``trusted`` holds the ids of trusted documents (column ``id_col``). All their text trains a byte
     n-gram model for each language, by which all other documents are scored. Trusted documents are
@@ -266,7 +266,7 @@ def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_c
     so is an empty or null text. With a single trusted text in all there is nothing to hold out, and all
     is kept. Null and repeated ids pass through; empty tables give no rows; other columns are not read.
     """
-    own = docs.select(docs[id_col].alias("k"), docs[lang_col].alias("lang"), docs[text_col].alias("t"))
+    own = docs.select(docs[id_col].alias("k"), docs[lang_col].alias("lang"), text_hash(docs[text_col]).alias("r"), docs[text_col].alias("t"))
     good = trusted.select(F.col(id_col).alias("g")).where("g is not null").distinct()
     good = materialize(good, "trusted")
     few = F.broadcast(good) if good.count() <= SMALL_ROWS else good
@@ -285,7 +285,7 @@ def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_c
 
     texts = texts.withColumns({"fold": _fold(F.col("k"), folds, salt), "home": home})
     models = cross_models(texts.where("home is not null"), folds, pooled, order)
-    row = F.struct("k", "lang").alias("k")
+    row = F.struct("k", "lang", "r").alias("k")
     rest = own.join(few, own["k"] == few["g"], "left_anti").select(row, F.concat(F.lit("all:"), home).alias("lang"), "t")
     held = texts.select(row, "fold", F.explode(_homes(F.col("home"), pooled)).alias("home"), "t")
     scores = None
@@ -293,7 +293,7 @@ def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_c
         part = rest if m == "all" else held.where(F.col("fold") == m).select("k", F.concat("fold", F.lit(":"), "home").alias("lang"), "t")
         model = models.where(F.col("lang").startswith(f"{m}:"))
         scorer = score_in_memory if model.count() <= broadcast_rows else score_by_join
-        part = materialize(scorer(part, model, order), f"scores-{m}").select("k.k", "k.lang", F.split("lang", ":", 2)[1].alias("home"), F.lit(m != "all").alias("held"), "n", "bits")
+        part = materialize(scorer(part, model, order), f"scores-{m}").select("k.k", "k.lang", "k.r", F.split("lang", ":", 2)[1].alias("home"), F.lit(m != "all").alias("held"), "n", "bits")
         scores = part if scores is None else scores.unionByName(part)
 
     held = scores.where(F.col("held") & (F.col("n") > 0) & F.col("bits").isNotNull())
@@ -309,11 +309,15 @@ def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_c
     all_rows = all_rows.withColumns({"rate": drawn, "limit": F.when(F.col("limit").isNotNull(), F.greatest("limit", "least"))})
     return all_rows.select(
         F.col("k").alias(id_col), "lang", F.col("n").alias("n_bytes"), F.pow(F.lit(2.0), F.col("bits") / F.when(F.col("n") > 0, F.col("n"))).alias("perplexity"),
-        F.pow(F.lit(2.0), "limit").alias("threshold"), (F.col("rate").isNull() | (F.col("n") == 0) | (F.col("rate") <= F.col("limit"))).alias("kept"),
+        F.pow(F.lit(2.0), "limit").alias("threshold"), (F.col("rate").isNull() | (F.col("n") == 0) | (F.col("rate") <= F.col("limit"))).alias("kept"), F.col("r").alias("text_hash"),
     )
 
 
-def drop_low_quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that the classifier keeps, all columns; rows with a null id stay."""
-    bad = classify(docs, trusted, id_col).where(~F.col("kept")).select(F.col(id_col).alias("bad_id"))
-    return docs.join(bad, docs[id_col] == bad["bad_id"], "left_anti")
+def drop_low_quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the classifier keeps, all columns.
+
+    Rows are judged by their own texts, also where an id repeats; rows with a null id, or a null or empty
+    text, stay; without trusted texts, and with an empty table, nothing goes.
+    """
+    bad = classify(docs, trusted, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("k"), F.col("text_hash").alias("r"))
+    return without_rows(docs, bad, id_col, text_col)

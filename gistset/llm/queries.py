@@ -40,7 +40,7 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return quality.classify(table(spark, sf_dir, "documents"), trusted)
+    return quality.classify(table(spark, sf_dir, "documents"), trusted).drop("text_hash")
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -158,7 +158,7 @@ class _Memory(dict):
 class ChunkEncoder:
     """Encodes texts; up to ``most`` recent chunks of at most ``longest`` signs are remembered, and as many before them."""
 
-    def __init__(self, path: str, most: int = 200_000, longest: int = 64):
+    def __init__(self, path: str, most: int = 270_000, longest: int = 64):
         self.split = Splitter(path)
         self.split.spec = {}  # the library holds the model
         self.tokenize = self.split.tokenizer.model.tokenize

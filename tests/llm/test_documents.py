@@ -386,3 +386,71 @@ def test_null_and_repeated_ids(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert exact_dedup.exact_groups(df).count() == line_dedup.dedup_lines(df).count() == near_dedup.near_duplicates(df).count() == substring_dedup.remove_repeats(df).count() == packing.pack(df, WORD).count() == 4
     assert decontamination.phrase_matches(df, spark.createDataFrame([(1, "a b c d e f g a b c d e f g")], "item_id long, text string")).where(F.size("matches") > 0).count() == 4
+
+
+@pytest.fixture
+def large_paths(monkeypatch):
+    """Every table counts as large, every key as heavy."""
+    monkeypatch.setattr(common, "SENT_BYTES", 0)
+    monkeypatch.setattr(common, "HEAVY_ROWS", 2)
+    monkeypatch.setattr(near_dedup, "_BLOCK", 3)
+
+
+LINES = ["the first of several lines that recur", "another line which is long enough", "short", "some line found here only %d"]
+
+
+def repeated(spark):
+    """Ids on two texts, one of which has a smaller twin; null ids; a column of each name that the operators use."""
+    rnd = random.Random(3)
+    make = lambda n: " ".join(f"w{rnd.randrange(10**5)}" for _ in range(n))
+    a, b, c = make(80), make(80), make(80)
+    rows = [(1, a), (5, a), (5, b), (None, a), (None, None), (7, None), (7, c), (7, c), (9, c + " tail"), (9, make(90)), (11, ""), (11, "  ")]
+    rows += [(20 + i, "\n".join([LINES[0], LINES[1], LINES[2], LINES[3] % i, make(60)])) for i in range(3)] + [(20, LINES[1] + "\n" + make(60) + " " + " ".join(a.split()[:30]))]
+    names = "doc_id long, text string, lang string, source string, k long, t string, r long, n long, h long, v long, ids string, length long, start long, pos long, term string, size long, part int, word string, gone_k long"
+    return spark.createDataFrame([(k, t, "en", "s", 1, "t", 2, 3, 4, 5, "ids", 6, 7, 8, "x", 9, 0, "w", 1) for k, t in rows], names), rows
+
+
+def kept_rows(df):
+    return sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)
+
+
+def test_drops_go_by_id_and_text(spark):
+    df, rows = repeated(spark)
+    c = rows[6][1]
+    gone = [(5, rows[0][1])]
+    without = lambda gone: sorted([r for r in rows if r not in gone], key=repr)
+    assert kept_rows(exact_dedup.drop_exact_duplicates(df)) == without([*gone, (11, "")])  # the empty text is also (7, null)'s
+    assert kept_rows(near_dedup.drop_near_duplicates(df)) == without([*gone, (9, c + " tail")])
+    items = spark.createDataFrame([(1, " ".join(rows[0][1].split()[:13]))], "item_id long, text string")
+    assert kept_rows(decontamination.drop_contaminated(df, items)) == without([(1, rows[0][1]), (5, rows[0][1]), (20, rows[-1][1])])
+    junk = spark.createDataFrame([(5, "#!%&" * 200, "en"), *[(k, t, "en") for k, t in rows]], "doc_id long, text string, lang string")
+    trusted = spark.createDataFrame([(1,), (7,), (9,), (20,), (21,)], "doc_id long")
+    assert kept_rows(quality.drop_low_quality(junk, trusted)) == sorted(rows, key=repr)
+
+
+def test_large_paths_equal_small_ones(spark, large_paths, fixture):
+    test_drops_go_by_id_and_text(spark)
+    test_exact_dedup_both_ways(fixture)
+    test_line_dedup(fixture)
+    test_decontamination(spark, fixture)
+    test_near_dedup(spark)
+
+
+def test_near_dedup_by_weighted_shingles(spark):
+    """Multisets against brute force; texts with equal sets and other counts are not alike."""
+    rnd = random.Random(8)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(30)]
+    rows = [(k, " ".join(base * rnd.randint(1, 6) + [f"x{rnd.randrange(4)}"] * rnd.randrange(5))) for k in range(30)]
+    bags = {}
+    for k, t in rows:
+        w = common.words_of(t)
+        for j in range(max(1, len(w) - 4)):
+            bags.setdefault(k, {}).setdefault(tuple(w[j : j + 5]), []).append(j)
+    size = {k: {s: len(v) for s, v in b.items()} for k, b in bags.items()}
+    label = {k: k for k in size}
+    pairs = [(a, b) for a in size for b in size if a < b and 5 * sum(min(size[a].get(s, 0), size[b].get(s, 0)) for s in {*size[a], *size[b]}) >= 4 * sum(max(size[a].get(s, 0), size[b].get(s, 0)) for s in {*size[a], *size[b]})]
+    for _ in rows:
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), weighted=True).collect()}
+    assert got == label and 2 < len(set(label.values())) < 30
