@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_small, join_heavy, materialize, slices, text_hash, without_rows, words_of
+from .common import is_small, join_heavy, materialize, slices, small_batches, text_hash, without_rows, words_of
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Parity bits of a shingle set.
@@ -177,7 +177,8 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, width: int, threshold:
     """``k, r, vertex, class`` of each row: its text's vertex and the smallest vertex linked to it; null where nothing is compared."""
     own = docs.select(docs[id_col].alias("k"), text_hash(docs[text_col]).alias("r"), docs[text_col].alias("t"))
     sketched = sketches(own.select(F.struct("k", "r").alias("row"), "t"), "row", "t", width, bands, rows, weighted)
-    rows_of = materialize(sketched.select("row.k", "row.r", "n", "f1", "f2", "bands", "parity"), "sketches")
+    with small_batches(own.sparkSession):
+        rows_of = materialize(sketched.select("row.k", "row.r", "n", "f1", "f2", "bands", "parity"), "sketches")
     real = rows_of.where("n > 0 and k is not null")
     first = F.min(F.struct("k", "r", "n", "bands", "parity")).alias("first")
     vertices = materialize(real.groupBy("f1", "f2").agg(first).select("f1", "f2", "first.*"), "vertices")
@@ -203,8 +204,10 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, width: int, threshold:
         named = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct()
         named = materialize(named.join(vertices.select("v", F.col("k").alias("nk"), F.col("r").alias("nr")), "v"), f"{tag}-texts")
         named = F.broadcast(named) if is_small(named) else named
-        texts = own.join(named, (own["k"] == named["nk"]) & (own["r"] == named["nr"])).select(F.col("v").alias("k"), "t").dropDuplicates(["k"])
-        sets = materialize(shingle_sets(texts, width, weighted), f"{tag}-sets")
+        texts = own.join(named, (own["k"] == named["nk"]) & (own["r"] == named["nr"])).select(F.col("v").alias("k"), "t")
+        with small_batches(own.sparkSession):
+            sets = materialize(shingle_sets(texts, width, weighted), f"{tag}-sets")
+        sets = sets.dropDuplicates(["k"])  # rows that repeat an id and its text
         both = attach_sets(attach_sets(pairs, sets, "a"), sets, "b")
         common = F.size(F.array_intersect("sa", "sb"))
         return materialize(both.where(common * many >= (F.size("sa") + F.size("sb") - common) * one).select("a", "b"), f"{tag}-links")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, text_hash, without_rows
+from .common import join_heavy, materialize, slices, text_hash, without_rows
 
 #: Model rows up to which scoring sends the model to all executors (12 bytes each); a larger model is joined by shuffle.
 BROADCAST_ROWS = 4_000_000
@@ -170,13 +170,12 @@ class Scorer:
 
 def score_in_memory(docs: DataFrame, model: DataFrame, order: int) -> DataFrame:
     """``k, lang, n, bits`` of documents ``k, lang, t``; the model goes to every executor."""
-    rows = model.select("lang", "n", "kind", "key", F.col("value").cast("float").alias("value")).toArrow()
-    langs = sorted(set(rows.column("lang").unique().to_pylist()))
-    number = np.array([langs.index(x) for x in rows.column("lang").combine_chunks().dictionary_encode().dictionary.to_pylist()] or [0], np.int64)
-    lang = number[rows.column("lang").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)] if rows.num_rows else np.zeros(0, np.int64)
-    kind = rows.column("kind").to_numpy() == "b"
-    keys = rows.column("key").to_numpy() | (lang << 48) | ((2 * rows.column("n").to_numpy().astype(np.int64) + kind) << 42)
-    sent = docs.sparkSession.sparkContext.broadcast((langs, order, keys, rows.column("value").to_numpy()))
+    langs = sorted(r["lang"] for r in model.select("lang").distinct().collect())  # a row a model
+    number = F.element_at(F.create_map(*[x for i, lang in enumerate(langs) for x in (F.lit(lang), F.lit(i).cast("long"))]), F.col("lang")) if langs else F.lit(0).cast("long")
+    tag = F.shiftleft(number, 48).bitwiseOR(F.shiftleft((2 * F.col("n") + F.when(F.col("kind") == "b", 1).otherwise(0)).cast("long"), 42))
+    rows = model.select(F.col("key").bitwiseOR(tag).alias("key"), F.col("value").cast("float").alias("value")).toArrow()
+    sent = docs.sparkSession.sparkContext.broadcast((langs, order, rows.column("key").to_numpy(), rows.column("value").to_numpy()))
+    del rows
     made: list[Scorer] = []
     kinds = dict(docs.dtypes)["k"]
 
@@ -191,35 +190,44 @@ def score_in_memory(docs: DataFrame, model: DataFrame, order: int) -> DataFrame:
 
 
 def score_by_join(docs: DataFrame, model: DataFrame, order: int) -> DataFrame:
-    """The same scores by joins sharded by n-gram, for models too large to send: each document's n-grams are counted first."""
+    """The same scores by joins sharded by n-gram, for models too large to send.
+
+    Each document's n-grams are counted first. A distinct n-gram is scored once: what an order knows leaves
+    with its score, the others go on to the next lower one. Scores then meet the documents' counts; n-grams
+    that many documents hold are sent to these instead of being gathered.
+    """
     kinds = dict(docs.dtypes)["k"]
 
     def run(batches: Iterable[pa.RecordBatch]):
         for batch in slices(batches, "t"):
-            ks, langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist()
+            ks, langs, texts = batch.column(0), batch.column(1).to_pylist(), batch.column(3).to_pylist()
             hashes = batch.column(2).to_pylist()
             for i, raw in _padded(texts, order):
                 key, c = np.unique(gram_keys(raw, order), return_counts=True)
                 m = max(1, len(key))  # a text without n-grams is a row without a key
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([ks[i]] * m, batch.schema.field(0).type), pa.array([langs[i]] * m, pa.string()), pa.array([hashes[i]] * m, pa.int64()), pa.array(key if len(key) else [None], pa.int64()), pa.array(c if len(key) else [0], pa.int64())],
-                    ["k", "lang", "r", "key", "c"],
+                    [ks.take(pa.array([i] * m)), pa.array([langs[i]] * m, pa.string()), pa.array([hashes[i]] * m, pa.int64()), pa.array(key if len(key) else [None], pa.int64()), pa.array(c if len(key) else [0], pa.int64())],
+                    ["k", "lang", "row", "key", "c"],
                 )
 
-    rows = docs.select("k", "lang", F.monotonically_increasing_id().alias("r"), "t").mapInArrow(run, f"k {kinds}, lang string, r long, key long, c long")
-    rows = rows.withColumns({"value": F.lit(0.0), "open": F.col("key").isNotNull()})
+    rows = docs.select("k", "lang", F.monotonically_increasing_id().alias("row"), "t").mapInArrow(run, f"k {kinds}, lang string, row long, key long, c long")
+    rows = materialize(rows, "document-grams")
+    langs = materialize(model.select("lang").distinct().withColumn("known", F.lit(True)), "known-languages")
+    real = rows.where("key is not null and lang is not null").join(F.broadcast(langs.select("lang")), "lang", "left_semi")  # a row a model
+    grams = materialize(real.groupBy("lang", "key").agg(F.count(F.lit(1)).alias("size")), "grams")
+    open_, done = grams.withColumn("value", F.lit(0.0)), None
     for n in range(order, 0, -1):
         p = model.where((F.col("n") == n) & (F.col("kind") == "p")).select("lang", F.col("key").alias("g"), F.col("value").alias("pv"))
         b = model.where((F.col("n") == n) & (F.col("kind") == "b")).select("lang", F.col("key").alias("ctx"), F.col("value").alias("bv"))
-        rows = rows.withColumn("g", F.when(F.col("open"), F.col("key").bitwiseAND(F.lit((1 << 8 * n) - 1)))).withColumn("ctx", F.shiftright("g", 8))
-        rows = rows.join(p, ["lang", "g"], "left").join(b, ["lang", "ctx"], "left")
-        seen = F.col("pv").isNotNull()
-        step = F.when(~F.col("open"), 0.0).when(seen, F.col("pv")).otherwise(F.coalesce("bv", F.lit(0.0)))
-        rows = rows.select("k", "lang", "r", "key", "c", (F.col("value") - step).alias("value"), (F.col("open") & ~seen).alias("open"))
-    known = model.select("lang").distinct().withColumn("known", F.lit(True))
-    bits = F.col("c") * (F.col("value") + F.when(F.col("open"), 8.0).otherwise(0.0))
-    out = rows.groupBy("k", "lang", "r").agg(F.sum("c").alias("n"), F.sum(bits).alias("bits")).join(known, "lang", "left")
-    return out.select("k", "lang", "n", F.when(F.col("known"), F.col("bits")).alias("bits"))
+        step = open_.withColumn("g", F.col("key").bitwiseAND(F.lit((1 << 8 * n) - 1))).withColumn("ctx", F.shiftright("g", 8))
+        step = materialize(step.join(p, ["lang", "g"], "left"), f"order{n}")
+        known = step.where("pv is not null").select("lang", "key", "size", (F.col("value") - F.col("pv")).alias("value"))
+        done = known if done is None else done.unionByName(known)
+        open_ = step.where("pv is null").join(b, ["lang", "ctx"], "left").select("lang", "key", "size", (F.col("value") - F.coalesce("bv", F.lit(0.0))).alias("value"))
+    scored = materialize(done.unionByName(open_.withColumn("value", F.col("value") + 8.0)), "gram-scores")
+    bits = join_heavy(real, scored, ["lang", "key"], "size").groupBy("row").agg(F.sum(F.col("c") * F.col("value")).alias("bits"))
+    out = rows.groupBy("row").agg(F.first("k").alias("k"), F.first("lang").alias("lang"), F.sum("c").alias("n")).join(bits, "row", "left").join(F.broadcast(langs), "lang", "left")
+    return out.select("k", "lang", "n", F.when(F.col("known"), F.coalesce("bits", F.lit(0.0))).alias("bits"))
 
 
 def _fold(k: Column, folds: int, salt: int) -> Column:
@@ -248,7 +256,7 @@ def _homes(home: Column, pooled: bool) -> Column:
     return F.when(F.lit(pooled) & (home != POOLED), F.array(home, F.lit(POOLED))).otherwise(F.array(home))
 
 
-def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 5, folds: int = 5, quantile: float = 0.999, margin: float = 1.1, prior_bytes: int = 100, broadcast_rows: int = BROADCAST_ROWS, least: int = 20) -> DataFrame:
+def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 5, folds: int = 2, quantile: float = 0.999, margin: float = 1.1, prior_bytes: int = 100, broadcast_rows: int = BROADCAST_ROWS, least: int = 20) -> DataFrame:
     """``id_col, lang, n_bytes, perplexity, threshold, kept, text_hash`` for each row of ``docs``.
 
     ``trusted`` holds the ids of trusted documents (column ``id_col``). All their text trains a byte

@@ -454,3 +454,50 @@ def test_near_dedup_by_weighted_shingles(spark):
             label[a] = label[b] = min(label[a], label[b])
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), weighted=True).collect()}
     assert got == label and 2 < len(set(label.values())) < 30
+
+
+def test_perplexity_equals_plain_kneser_ney(spark):
+    """Interpolated modified Kneser-Ney over bytes, written out in dictionaries, against both ways of scoring."""
+    import math
+    from collections import Counter
+
+    rnd, order = random.Random(12), 3
+    good = lambda: " ".join(rnd.choice(["river", "stone", "walks", "under", "green"]) for _ in range(12))
+    train, other = [good() for _ in range(12)], [good(), "stone of a river", "xyz!", "stöne"]
+    counts = {order: Counter()}
+    for t in train:
+        raw = bytes(order - 1) + t.encode()
+        counts[order].update(raw[i : i + order] for i in range(len(raw) - order + 1))
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    model = {}
+    for n in counts:
+        t = {i: sum(c == i for c in counts[n].values()) for i in (1, 2, 3, 4)}
+        y = t[1] / (t[1] + 2 * t[2]) if t[1] else 0.5
+        cut = {i: min(max(i - (i + 1) * y * t[i + 1] / t[i] if t[i] else 0.5 * i, 0.1), 0.95 * i) for i in (1, 2, 3)}
+        after = {}
+        for g, c in counts[n].items():
+            after.setdefault(g[:-1], []).append(c)
+        model[n] = (cut, after)
+
+    def prob(g):
+        if not g:
+            return 1 / 256
+        cut, after = model[len(g)]
+        if g[:-1] not in after:
+            return prob(g[1:])
+        cs, c = after[g[:-1]], counts[len(g)].get(g, 0)
+        return ((c - cut[min(c, 3)] if c else 0) + sum(cut[min(x, 3)] for x in cs) * prob(g[1:])) / sum(cs)
+
+    def bits(t):
+        raw = bytes(order - 1) + t.encode()
+        return sum(-math.log2(prob(raw[i : i + order])) for i in range(len(raw) - order + 1))
+
+    texts = spark.createDataFrame([("en", t) for t in train], "lang string, t string")
+    built = common.materialize(quality.kneser_ney(quality.count_grams(texts, order), order), "m")
+    df = spark.createDataFrame([(i, "en", t) for i, t in enumerate([*train, *other, ""])] + [(99, "fr", "a")], "k long, lang string, t string")
+    for way in (quality.score_in_memory, quality.score_by_join):
+        got = {r["k"]: (r["n"], r["bits"]) for r in way(df, built, order).collect()}
+        assert got.pop(99)[1] is None and len(got) == len(train) + len(other) + 1
+        for i, t in enumerate([*train, *other, ""]):
+            assert got[i][0] == len(t.encode()) and math.isclose(got[i][1], bits(t), rel_tol=1e-6, abs_tol=1e-9)
