@@ -16,15 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import join_heavy, materialize, sent_if_small, slices, small_batches, text_hash
 from .near_dedup import mix
 
 GRAM = 20
-#: Windows a piece holds at most (long periodic stretches are cut), and bits of the name filter.
-_MOST, _FILTER_BITS = 256, 27
-#: Distinct texts of one name above which its windows are grouped by themselves, without an index.
-HOT_TEXTS = 50_000
-_INDEX_BYTES = 2 << 20
+#: Windows a piece holds at most (long periodic stretches are cut), and most bits of the name filter.
+_MOST, _FILTER_BITS = 256, 30
+#: Distinct texts of one name, and their bytes, above which its windows are grouped by themselves, without an index.
+HOT_TEXTS, HOT_BYTES = 50_000, 1 << 20
+#: Bytes of text from which on a shard's names go into one index.
+_INDEX_BYTES = 1 << 20
 
 
 def names(raw: np.ndarray, width: int, gram: int = GRAM) -> np.ndarray:
@@ -88,119 +89,102 @@ def pieces(raws: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 class RunLengthIndex:
-    """Run-compressed Burrows-Wheeler transform of texts, with sampled run ends.
+    """Samples at the run ends of the Burrows-Wheeler transform of several texts.
 
-    Kept are the runs' heads, starts and ranks (for last-to-first steps), the text position at each
-    run's end, and the bounds of the row intervals that share ``depth`` leading bytes.
+    The transform is cut into runs of one sign. Within a run, neighbouring suffixes stay neighbours one
+    step to the left, so it is enough to keep, where a run ends, a suffix's place in the text, that of its neighbour in
+    suffix order, and how long both agree (up to ``depth``): three numbers a run, few where texts repeat.
+    All other places follow from the next sample to their right.
     """
 
     def __init__(self, texts: list[bytes], depth: int):
-        self.ends = np.cumsum([len(t) + 1 for t in texts]) - 1
-        text = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int64) + len(texts)
-        text[self.ends] = np.arange(len(texts))  # each text has an end sign of its own, below all bytes
-        self.text, self.depth, self.n_texts = text, depth, len(texts)
-        order = self._sorted(text)
-        n = len(text)
+        text = np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8)  # no UTF-8 text holds this byte
+        self.depth, self.n, self.ends = depth, len(text), np.cumsum([len(t) + 1 for t in texts]) - 1
+        words = np.zeros(self.n + depth + 8, np.uint64)  # the eight bytes from each place on
+        for j in range(8):
+            words[: self.n - j] |= text[j:].astype(np.uint64) << np.uint64(56 - 8 * j)
+        order, row = self._sorted(words[: self.n])
         before = text[order - 1]
-        starts = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
-        self.starts, self.heads = starts, before[starts]
-        length = np.diff(np.append(starts, n))
-        self.run_end_sample = order[starts + length - 1]
-        by = np.argsort(self.heads, kind="stable")
-        to = np.empty(len(starts), np.int64)
-        to[by] = np.cumsum(length[by]) - length[by]
-        self.to = to  # row of the first sign of a run, one step back in the text
-        self.bounds = self._bounds(order)
-        self.position = order
-
-    def _sorted(self, text: np.ndarray) -> np.ndarray:
-        """Suffix order by prefix doubling; only suffixes that still tie are sorted again."""
-        # the first seven signs in one number, 0 from a text's end on; suffixes that end there order by their end sign
-        n, n_texts = len(text), self.n_texts
-        letter = np.where(text < n_texts, 0, text - n_texts + 1)
-        ended, key, end = np.zeros(n, bool), np.zeros(n, np.int64), np.full(n, -1, np.int64)
-        for j in range(7):
-            at = np.minimum(np.arange(j, n + j), n - 1)
-            stop = ~ended & (letter[at] == 0)
-            end[stop] = text[at][stop]
-            ended |= stop
-            key = (key << 9) | np.where(ended, 0, letter[at])
-        order, width = np.lexsort((end, key)), 7
-        key, end = key[order], end[order]
-        first = np.concatenate([[True], (key[1:] != key[:-1]) | (end[1:] != end[:-1])])
-        rank = np.empty(n, np.int64)
-        rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+        begins = np.concatenate([[True], before[1:] != before[:-1]])
+        first = row[0]  # the first place has nothing before it
+        begins[first : first + 2] = True
+        self.n_runs = int(begins.sum())
+        place = order[begins] - 1
+        place = np.append(place[place >= 0], self.n - 1)
+        place.sort()
+        above = row[place]
+        self.place, self.neighbour = place, np.where(above > 0, order[above - 1], place)
+        self.agree = np.where(above > 0, self._agree(words, self.place, self.neighbour), 0)
+
+    @staticmethod
+    def _sorted(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(suffix order, row of each suffix) by prefix doubling; only suffixes that still tie are sorted again."""
+        n, width = len(words), 8
+        order = np.argsort(words).astype(np.int32)
+        key = words[order]
+        first = np.concatenate([[True], key[1:] != key[:-1]])
+        row = np.empty(n, np.int32)
+        row[order] = np.maximum.accumulate(np.where(first, np.arange(n, dtype=np.int32), 0))
         while True:
             tied = ~first
             tied[:-1] |= tied[1:].copy()
             rows = np.flatnonzero(tied)
             if not len(rows):
-                return order
+                return order, row
             at = order[rows]
-            second = rank[np.minimum(at + width, n - 1)]
-            by = np.lexsort((second, rank[at]))
-            at, second = at[by], second[by]
+            after = at.astype(np.int64) + width
+            key = (row[at].astype(np.int64) << 32) + np.where(after < n, row[np.minimum(after, n - 1)] + 1, 0)
+            by = np.argsort(key)
+            at, key = at[by], key[by]
             order[rows] = at
-            group = rank[at]
-            first[rows] = np.concatenate([[True], (group[1:] != group[:-1]) | (second[1:] != second[:-1])])
-            rank[at] = np.maximum.accumulate(np.where(first[rows], rows, 0))
+            first[rows] = np.concatenate([[True], key[1:] != key[:-1]])
+            row[at] = np.maximum.accumulate(np.where(first[rows], rows, 0))
             width *= 2
 
-    def _bounds(self, order: np.ndarray) -> np.ndarray:
-        """Rows at which an interval of suffixes with equal first ``depth`` signs begins (shorter suffixes stand alone)."""
-        hash_, step, n = self.text.astype(np.uint64), 1, len(self.text)
-        with np.errstate(over="ignore"):
-            parts, done, at = None, 0, self.depth
-            while at:
-                if at & 1:
-                    shifted = np.concatenate([hash_[done:], np.zeros(min(done, n), np.uint64)])[:n]
-                    parts = mix(hash_) if parts is None else mix(parts * np.uint64(0x9E3779B97F4A7C15) + shifted)
-                    done += step
-                hash_ = mix(hash_ * np.uint64(0xD6E8FEB86659FD93) + mix(np.concatenate([hash_[step:], np.zeros(min(step, n), np.uint64)])[:n]))
-                step, at = 2 * step, at >> 1
-        own = parts[order]
-        return np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-
-    def step_back(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """One last-to-first step: (sign before each row's suffix, its row)."""
-        run = np.searchsorted(self.starts, rows, "right") - 1
-        return self.heads[run], self.to[run] + rows - self.starts[run]
-
-    def interval(self, rows: np.ndarray) -> np.ndarray:
-        """Number of the interval of equal ``depth``-byte beginnings that a row stands in."""
-        return np.searchsorted(self.bounds, rows, "right") - 1
-
-    def owners(self, owner: np.ndarray) -> np.ndarray:
-        """For each interval the smallest owner of a text with a suffix in it."""
-        return np.minimum.reduceat(owner[np.searchsorted(self.ends, self.position)], self.bounds)
-
-    def stream(self, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Stream all texts backwards: (texts, offsets, intervals) wherever a match of ``depth`` bytes begins.
-
-        A text's end sign is its row at first; each last-to-first step extends the match by a byte to
-        the left, and the interval bounds cut it to ``depth`` bytes, so a match is never searched anew.
-        """
-        rows, live, left = np.arange(self.n_texts), np.arange(self.n_texts), sizes.copy()
-        while len(live):
-            _, rows = self.step_back(rows)
-            left = left - 1
-            deep = left <= sizes[live] - self.depth
-            if deep.any():
-                yield live[deep], left[deep], self.interval(rows[deep])
-            on = left > 0
-            rows, live, left = rows[on], live[on], left[on]
-
-
-def first_owners(texts: list[bytes], owner: np.ndarray, width: int) -> list[np.ndarray]:
-    """For each window of each text the smallest owner that holds it."""
-    index = RunLengthIndex(texts, width)
-    least, sizes = index.owners(owner), np.array([len(t) for t in texts], np.int64)
-    out = [np.zeros(max(0, s - width + 1), owner.dtype) for s in sizes.tolist()]
-    begin = np.concatenate([[0], np.cumsum([len(o) for o in out])])
-    flat = np.zeros(begin[-1], owner.dtype)
-    for which, offset, interval in index.stream(sizes):
-        flat[begin[which] + offset] = least[interval]
-    return np.split(flat, begin[1:-1])
+    def _agree(self, words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many bytes from places ``a`` and ``b`` on are equal, up to ``depth``."""
+        out, live = np.full(len(a), self.depth, np.int32), np.arange(len(a))
+        for done in range(0, self.depth, 8):
+            differ = words[np.minimum(a[live] + done, self.n)] ^ words[np.minimum(b[live] + done, self.n)]
+            ended = differ != 0
+            found, x = live[ended], differ[ended]
+            same = sum((x < (np.uint64(1) << np.uint64(56 - 8 * j))).astype(np.int32) for j in range(7))
+            out[found] = np.minimum(self.depth, done + same)
+            live = live[~ended]
+        return out
+
+    def matching_statistics(self, block: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Stream the texts: (places, length of the match, place of the match with the neighbour in suffix order)."""
+        for a in range(0, self.n, block):
+            at = np.arange(a, min(self.n, a + block))
+            sample = np.searchsorted(self.place, at)
+            back = self.place[sample] - at
+            yield at, self.agree[sample] + back, self.neighbour[sample] - back
+
+
+def repeated_windows(texts: list[bytes], owner: np.ndarray, width: int) -> list[np.ndarray]:
+    """For each window of each text whether a text of a smaller owner holds it."""
+    by = np.argsort(owner, kind="stable")
+    index = RunLengthIndex([texts[i] for i in by.tolist()], width)
+    number = np.repeat(np.arange(len(texts)), np.diff(np.concatenate([[-1], index.ends])))
+    root = np.arange(index.n)
+    for at, length, other in index.matching_statistics():
+        long = (length >= width) & (at + width <= index.ends[number[at]])  # matches do not cross a text's end
+        root[at[long]] = other[long]
+    while True:  # equal windows are neighbours: follow them to the first
+        up = root[root]
+        if np.array_equal(up, root):
+            break
+        root = up
+    lowest = np.empty(index.n, np.int64)
+    lowest[root[::-1]] = np.arange(index.n)[::-1]  # of several the last written stays: the smallest place, and owner
+    own = owner[by]
+    less = own[number[lowest[root]]] < own[number]
+    out: list[np.ndarray] = [np.zeros(0, bool)] * len(texts)
+    begin = np.concatenate([[0], index.ends[:-1] + 1])
+    for j, i in enumerate(by.tolist()):
+        out[i] = less[begin[j] : begin[j] + max(0, len(texts[i]) - width + 1)]
+    return out
 
 
 def _collected(spark) -> None:
@@ -210,17 +194,17 @@ def _collected(spark) -> None:
 
 
 def repeated_spans(docs: DataFrame, total_bytes: int, width: int = 50, hot_texts: int = HOT_TEXTS) -> DataFrame:
-    """Of documents ``k, t`` with distinct texts of about ``total_bytes``: ``k, spans``, runs (first, last) of windows that a smaller ``k`` holds too."""
+    """Of rows ``k, r, t`` of about ``total_bytes``: ``k, r, spans``, runs (first, last) of windows that a smaller ``k`` holds too."""
     spark = docs.sparkSession
 
     def read(batches: Iterable[pa.RecordBatch]):
-        """(ids, bytes) of documents, about half a megabyte at a time."""
+        """(ids, hashes, bytes) of documents, about half a megabyte at a time."""
         for batch in slices(batches, "t", 1 << 19):
-            ks, ts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            yield ks, [t.encode("utf-8", "surrogatepass") for t in ts]
+            yield batch.column(0).to_numpy(), batch.column(1).to_numpy(), [t.encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
 
-    bucket_bits = min(_FILTER_BITS - 3, max(4, int(total_bytes >> 22).bit_length()))
-    low_bits, shift = np.uint64((1 << _FILTER_BITS) - 1), np.uint64(_FILTER_BITS - bucket_bits)
+    filter_bits = min(_FILTER_BITS, max(20, int(total_bytes >> 3).bit_length()))
+    bucket_bits = min(filter_bits - 3, max(4, int(total_bytes >> 22).bit_length()))
+    low_bits, shift = np.uint64((1 << filter_bits) - 1), np.uint64(filter_bits - bucket_bits)
 
     def name_blobs(batches: Iterable[pa.RecordBatch]):
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -240,7 +224,7 @@ def repeated_spans(docs: DataFrame, total_bytes: int, width: int = 50, hot_texts
             blobs = [m[a:b].tobytes() + k[a:b].tobytes() for a, b in zip(cut.tolist(), ends, strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(part[cut]), pa.array(blobs, pa.binary())], ["part", "blob"])
 
-        for ks, raws in read(batches):
+        for ks, rs, raws in read(batches):
             doc, m, *_ = pieces(raws, width)
             held.append((m, ks[doc]))
             if sum(len(m) for m, _ in held) > 1_000_000:
@@ -255,18 +239,18 @@ def repeated_spans(docs: DataFrame, total_bytes: int, width: int = 50, hot_texts
         by = np.lexsort((k, m))
         m, k = m[by], k[by]
         twice = np.flatnonzero((m[1:] == m[:-1]) & (k[1:] != k[:-1]))
-        bits = np.zeros(1 << (_FILTER_BITS - bucket_bits), np.uint8)
+        bits = np.zeros(1 << (filter_bits - bucket_bits), np.uint8)
         bits[(m[twice] & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
         return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
     def bloom(found: list) -> bytes:
-        step = 1 << (_FILTER_BITS - bucket_bits - 3)
-        table = np.zeros(1 << (_FILTER_BITS - 3), np.uint8)
+        step = 1 << (filter_bits - bucket_bits - 3)
+        table = np.zeros(1 << (filter_bits - 3), np.uint8)
         for r in found:
             table[r["part"] * step : (r["part"] + 1) * step] |= np.frombuffer(bytes(r["bits"]), np.uint8)
         return table.tobytes()
 
-    # a Bloom filter of fixed size (16 MB): a false hit costs a piece, none is missed
+    # a Bloom filter of a bit for eight bytes of text, 128 MB at most: a false hit costs a piece, none is missed
     blobs = docs.mapInArrow(name_blobs, "part long, blob binary")
     sent = spark.sparkContext.broadcast(bloom(blobs.groupBy("part").applyInArrow(shared_names, "part long, bits binary").collect()))
     _collected(spark)
@@ -277,20 +261,23 @@ def repeated_spans(docs: DataFrame, total_bytes: int, width: int = 50, hot_texts
 
     def piece_rows(batches: Iterable[pa.RecordBatch]):
         table = np.frombuffer(sent.value, np.uint8)
-        for ks, raws in read(batches):
+        for ks, rs, raws in read(batches):
             doc, m, th, at, n = pieces(raws, width)
             on = hits(table, m)
-            yield pa.RecordBatch.from_arrays([pa.array(m[on].view(np.int64)), pa.array(th[on]), pa.array(ks[doc[on]]), pa.array(at[on].astype(np.int32)), pa.array(n[on].astype(np.int32))], ["m", "th", "k", "at", "n"])
-
-    cand = materialize(docs.mapInArrow(piece_rows, "m long, th long, k long, at int, n int"), "pieces")
-    distinct = materialize(cand.groupBy("m", "th").agg(F.min("k").alias("first"), F.max("k").alias("last")), "piece-texts")
-    sizes = distinct.groupBy("m").agg(F.count(F.lit(1)).alias("c"), F.min("first").alias("lo"), F.max("last").alias("hi")).where("lo < hi")
-    named = materialize(distinct.join(sizes.select("m", (F.col("c") > hot_texts).alias("hot"), (F.col("c") == 1).alias("single")), "m").select("m", "th", "first", "hot", "single"), "piece-names")
+            yield pa.RecordBatch.from_arrays([pa.array(m[on].view(np.int64)), pa.array(th[on]), pa.array(ks[doc[on]]), pa.array(rs[doc[on]]), pa.array(at[on].astype(np.int32)), pa.array(n[on].astype(np.int32))], ["m", "th", "k", "r", "at", "n"])
+
+    with small_batches(spark):
+        cand = materialize(docs.mapInArrow(piece_rows, "m long, th long, k long, r long, at int, n int"), "pieces")
+    texts_of = cand.groupBy("m", "th").agg(F.min("k").alias("first"), F.max("k").alias("last"), F.max("n").alias("n"), F.count(F.lit(1)).alias("places"))
+    distinct = materialize(texts_of, "piece-texts")
+    sizes = distinct.groupBy("m").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("n") + width).alias("bytes"), F.min("first").alias("lo"), F.max("last").alias("hi")).where("lo < hi")
+    sizes = materialize(sizes.select("m", "c", ((F.col("c") > hot_texts) | (F.col("bytes") > HOT_BYTES)).alias("hot"), (F.col("c") == 1).alias("single")), "names")
+    named = materialize(join_heavy(distinct, sizes, ["m"], "c").select("m", "th", "first", "places", "hot", "single"), "piece-names")
     _collected(spark)
     # a name with one text needs no index: its first owner is the text's; of the others the texts are read again
-    bit = F.col("m").bitwiseAND(F.lit((1 << _FILTER_BITS) - 1)) + 1
+    bit = F.col("m").bitwiseAND(F.lit((1 << filter_bits) - 1)) + 1
     several_bits = named.where("not single").groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
-    table = np.zeros(1 << (_FILTER_BITS - 3), np.uint8)
+    table = np.zeros(1 << (filter_bits - 3), np.uint8)
     for r in several_bits:
         table[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
     sent2 = spark.sparkContext.broadcast(table.tobytes())
@@ -298,7 +285,7 @@ def repeated_spans(docs: DataFrame, total_bytes: int, width: int = 50, hot_texts
 
     def text_rows(batches: Iterable[pa.RecordBatch]):
         table = np.frombuffer(sent2.value, np.uint8)
-        for ks, raws in read(batches):
+        for ks, rs, raws in read(batches):
             doc, m, th, at, n = pieces(raws, width)
             on = hits(table, m)
             if len(on):
@@ -308,7 +295,8 @@ def repeated_spans(docs: DataFrame, total_bytes: int, width: int = 50, hot_texts
                 yield pa.RecordBatch.from_arrays([pa.array(m[on].view(np.int64)), pa.array(th[on]), pa.array(texts, pa.binary())], ["m", "th", "text"])
 
     texts = docs.mapInArrow(text_rows, "m long, th long, text binary").groupBy("m", "th").agg(F.min("text").alias("text"))
-    with_text = materialize(texts.join(named.where("not single").select("m", "th", "first", "hot"), ["m", "th"]), "piece-contents")
+    with small_batches(spark):
+        with_text = materialize(texts.join(named.where("not single").select("m", "th", "first", "hot"), ["m", "th"]), "piece-contents")
     several = with_text.where("not hot").select("m", "th", "first", "text")
     _collected(spark)
 
@@ -316,8 +304,8 @@ def repeated_spans(docs: DataFrame, total_bytes: int, width: int = 50, hot_texts
         def solve(rows: list[tuple]):
             owner = np.array([r[2] for r in rows], np.int64)
             runs = []
-            for least, own in zip(first_owners([r[3] for r in rows], owner, width), owner.tolist(), strict=True):
-                on = np.flatnonzero(np.diff(np.concatenate([[0], (least < own).astype(np.int8), [0]])))
+            for less in repeated_windows([r[3] for r in rows], owner, width):
+                on = np.flatnonzero(np.diff(np.concatenate([[0], less.astype(np.int8), [0]])))
                 runs.append([{"a": a, "b": b - 1} for a, b in on.reshape(-1, 2).tolist()])
             kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(runs, kind)], ["m", "th", "runs"])
@@ -341,12 +329,12 @@ def repeated_spans(docs: DataFrame, total_bytes: int, width: int = 50, hot_texts
     least = wide.groupBy("w").agg(F.min("first").alias("least"))
     by_window = wide.join(least, "w").where("least < first").groupBy("m", "th").agg(F.array_sort(F.collect_list(F.struct(F.col("j").cast("long").alias("a"), F.col("j").cast("long").alias("b")))).alias("runs"))
     marks = materialize(marked.where(F.size("runs") > 0).unionByName(by_window), "marks")
-    firsts = named.select("m", "th", "first").join(marks, ["m", "th"], "left")
-    found = cand.select("m", "th", "k", "at", "n").join(firsts, ["m", "th"])
+    firsts = materialize(named.select("m", "th", "first", "places").join(marks, ["m", "th"], "left"), "firsts")
+    found = join_heavy(cand, firsts, ["m", "th"], "places")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), (F.col("n") - 1).cast("long").alias("b")))
     runs = F.when(F.col("k") > F.col("first"), whole).otherwise(F.col("runs"))
-    spans = found.select("k", "at", F.explode(runs).alias("x")).select("k", F.struct((F.col("at") + F.col("x.a")).alias("a"), (F.col("at") + F.col("x.b")).alias("b")).alias("span"))
-    out = materialize(spans.groupBy("k").agg(F.array_sort(F.collect_list("span")).alias("spans")), "spans")
+    spans = found.select("k", "r", "at", F.explode(runs).alias("x")).select("k", "r", F.struct((F.col("at") + F.col("x.a")).alias("a"), (F.col("at") + F.col("x.b")).alias("b")).alias("span"))
+    out = materialize(spans.groupBy("k", "r").agg(F.array_sort(F.collect_list("span")).alias("spans")), "spans")
     _collected(spark)
     return out
 
@@ -359,21 +347,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Copies of one text are joined first: all but the smallest id lose all windows. Names of windows
     are summed before they are shuffled, distinct pieces stand for all their places, and a name with
-    more than ``hot_texts`` distinct texts is solved window by window without an index, so no group
-    of any size is gathered in one task.
+    more than ``hot_texts`` distinct texts, or more than a megabyte of them, is solved window by window without
+    an index, so no group of any size is gathered in one task.
 
-    A null text is empty; rows with a null id lose nothing and hide nothing; rows that repeat an id
-    are one document (none hides the other); an empty table gives no rows; other columns are not read.
+    Ids of any type that sorts; a null text is empty; rows with a null id lose nothing and hide nothing; rows that
+    repeat an id do not hide each other, and each loses its own text's repeats; an empty table gives
+    no rows; other columns are not read.
     """
-    own = docs.select(docs[id_col].cast("long").alias("k"), docs[text_col].alias("t"))
-    real = own.where("k is not null and t is not null").withColumn("x", F.unhex(F.sha2("t", 256)))
-    reps = materialize(real.groupBy("x").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1").select("x", "rep"), "copies")
-    keyed = materialize(real.select("k", "x"), "hashes").join(reps, "x").where("k > rep").select("k", "x", F.lit(True).alias("copy"))
-    later = materialize(keyed.distinct(), "later-copies")
-    few = F.broadcast(later) if later.count() <= 200_000 else later
+    own = docs.select(docs[id_col].alias("id"), text_hash(docs[text_col]).alias("r"), docs[text_col].alias("t"))
+    if dict(docs.dtypes)[id_col] in ("tinyint", "smallint", "int", "bigint"):
+        own = own.withColumn("k", F.col("id").cast("long"))
+    else:  # numbers in the order of the ids
+        ids = own.select(F.col("id").alias("of")).where("of is not null").distinct().repartitionByRange("of").sortWithinPartitions("of")
+        ids = sent_if_small(materialize(ids.select("of", F.monotonically_increasing_id().alias("k")), "ids"))
+        own = own.join(ids, own["id"] == ids["of"], "left").drop("of")
+    real = own.where("k is not null and t is not null")
+    hashes = materialize(real.select("k", "r", F.unhex(F.sha2("t", 256)).alias("x")), "hashes")
+    reps = materialize(hashes.groupBy("x").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1"), "copies")
+    later = materialize(join_heavy(hashes, reps, ["x"], "c").where("k > rep").select("k", "r", F.lit(True).alias("copy")).distinct(), "later-copies")
+    few = sent_if_small(later)
     total = own.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    spans = repeated_spans(real.join(few, ["k", "x"], "left_anti").select("k", "t"), total, width, hot_texts)
-    marked = own.withColumn("x", F.unhex(F.sha2("t", 256))).join(few, ["k", "x"], "left").join(spans, "k", "left").select("k", "t", F.coalesce("copy", F.lit(False)).alias("copy"), "spans")
+    spans = sent_if_small(repeated_spans(real.join(few, ["k", "r"], "left_anti").select("k", "r", "t"), total, width, hot_texts))
+    marked = own.join(few, ["k", "r"], "left").join(spans, ["k", "r"], "left").select("id", "t", F.coalesce("copy", F.lit(False)).alias("copy"), "spans")
     kind = dict(docs.dtypes)[id_col]
 
     def cut(batches: Iterable[pa.RecordBatch]):
@@ -395,5 +390,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             run_kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(gone, run_kind), pa.array(kept, pa.binary())], [id_col, "n_bytes", "spans", "kept"])
 
-    out = marked.mapInArrow(cut, f"`{id_col}` long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
-    return out.withColumn(id_col, F.col(id_col).cast(kind))
+    return marked.mapInArrow(cut, f"`{id_col}` {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")

@@ -501,3 +501,48 @@ def test_perplexity_equals_plain_kneser_ney(spark):
         assert got.pop(99)[1] is None and len(got) == len(train) + len(other) + 1
         for i, t in enumerate([*train, *other, ""]):
             assert got[i][0] == len(t.encode()) and math.isclose(got[i][1], bits(t), rel_tol=1e-6, abs_tol=1e-9)
+
+
+def without_repeats(rows, width=50):
+    """Brute force: what of each text stays."""
+    first = {}
+    for k, t in rows:
+        raw = (t or "").encode()
+        for j in range(len(raw) - width + 1 if k is not None else 0):
+            first[raw[j : j + width]] = min(first.get(raw[j : j + width], k), k)
+    out = []
+    for k, t in rows:
+        raw, gone = (t or "").encode(), set()
+        for j in range(len(raw) - width + 1 if k is not None else 0):
+            if first[raw[j : j + width]] < k:
+                gone |= set(range(j, j + width))
+        out.append((k, bytes(c for i, c in enumerate(raw) if i not in gone)))
+    return sorted(out, key=repr)
+
+
+def test_substrings_of_repeated_null_and_string_ids(spark, monkeypatch):
+    _, rows = repeated(spark)
+    text = lambda k: None if k is None else f"id{k:04d}"
+    for given, kind in ((rows, "long"), ([(text(k), t) for k, t in rows], "string")):
+        got = substring_dedup.remove_repeats(spark.createDataFrame(given, f"doc_id {kind}, text string")).collect()
+        assert sorted(((r["doc_id"], bytes(r["kept"])) for r in got), key=repr) == without_repeats(given)
+    monkeypatch.setattr(common, "SENT_BYTES", 0)
+    monkeypatch.setattr(substring_dedup, "HOT_BYTES", 200)
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"], bytes(r["kept"])) for r in got), key=repr) == without_repeats(rows)
+
+
+def test_run_length_index_against_brute_force():
+    import numpy as np
+
+    rnd = random.Random(1)
+    for size in (1, 3, 7, 40):
+        seeds = ["".join(rnd.choices("ab\0", k=rnd.randint(0, 30))) for _ in range(4)]
+        texts = list({"".join(rnd.choices([*seeds, "x", "y"], k=rnd.randint(0, 6))).encode() for _ in range(size)})
+        owner = np.array([rnd.randrange(6) for _ in texts])
+        got = substring_dedup.repeated_windows(texts, owner, 9)
+        for t, o, g in zip(texts, owner, got, strict=True):
+            windows = [t[j : j + 9] for j in range(len(t) - 8)]
+            assert g.tolist() == [any(w in u and p < o for u, p in zip(texts, owner, strict=True)) for w in windows]
+    periodic = [b"ab" * 400, b"ab" * 300 + b"c", b"a" * 500]
+    assert substring_dedup.RunLengthIndex(periodic, 50).n_runs < 100  # far fewer than the 1,900 bytes
