@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize
+from .common import ascii_lower, materialize, text_hash
 
 _LANE = 32
 
@@ -22,19 +22,25 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lower-cased; keys of at least ``min_chars`` code points in two or more documents stay in the
     smallest id that holds them only (there all their lines stay).
 
-    Keys travel as 128-bit hashes, range-partitioned by (hash, id, position) and sorted so: a key
-    of any frequency is spread over partitions, each partition streams its keys to their first
-    document, and one pre-aggregated row a key and partition is shuffled for the overall first.
+    Keys travel as 128-bit hashes in ranges of (hash, id, position): a key of any frequency is spread over as
+    many ranges as it fills. Each range is sorted so and streamed once; a key's first row there is its
+    first occurrence within the range. Only a range's first and last key can lie in other ranges too:
+    these, two rows a range, are put together and sent to all.
     Rows with a null id keep all lines and hide none; rows of one id are one document; a null text
     is one empty line; empty tables give no rows; other columns are not read.
     """
-    own = docs.where(docs[id_col].isNotNull()).select(docs[id_col].alias("k"), F.xxhash64(docs[text_col]).alias("r"), _lines(docs[text_col]).alias("lines"))
+    own = docs.where(docs[id_col].isNotNull()).select(docs[id_col].alias("k"), text_hash(docs[text_col]).alias("r"), _lines(docs[text_col]).alias("lines"))
     key = ascii_lower(F.btrim("line", F.lit(" \t\n\x0b\x0c\r")))
     lines = own.select("k", "r", F.posexplode("lines").alias("pos", "line")).select("k", "r", "pos", key.alias("key")).where(F.char_length("key") >= min_chars)
-    hashed = lines.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"), "k", "pos", "r")
-    ranged = materialize(hashed.repartitionByRange("h1", "h2", "k", "pos").sortWithinPartitions("h1", "h2", "k", "pos"), "lines")
-    firsts = ranged.groupBy("h1", "h2").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first < last").select("h1", "h2", "first")
-    drops = ranged.join(firsts, ["h1", "h2"]).where("k > first").select("k", "r", (F.col("pos") / _LANE).cast("int").alias("lane"), F.expr(f"shiftleft(1L, pos % {_LANE})").alias("bit"))
+    hashed = materialize(lines.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"), "k", "pos", "r"), "line-keys")
+    ranged = hashed.repartitionByRange("h1", "h2", "k", "pos").withColumn("range", F.spark_partition_id())
+    stream = Window.partitionBy("range", "h1", "h2").orderBy("k", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranged = materialize(ranged.repartition("range").withColumn("first", F.first("k").over(stream)), "lines")
+    head = F.struct("h1", "h2", "first")
+    edges = ranged.groupBy("range").agg(F.array(F.min(head), F.max(head)).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+    edges = F.broadcast(materialize(edges.groupBy("h1", "h2").agg(F.min("first").alias("before")), "edges"))  # two rows a range at most
+    drops = ranged.join(edges, ["h1", "h2"], "left").where(F.col("k") > F.least("first", "before"))
+    drops = drops.select("k", "r", (F.col("pos") / _LANE).cast("int").alias("lane"), F.expr(f"shiftleft(1L, pos % {_LANE})").alias("bit"))
     lanes = drops.groupBy("k", "r", "lane").agg(F.bit_or("bit").alias("gone"))
     full = (1 << _LANE) - 1
     per_doc = lanes.groupBy("k", "r").agg(
@@ -45,18 +51,20 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, n_lines, n_dropped, kept_text`` of every row of ``docs``."""
-    own = docs.select(docs[id_col].alias("k"), F.xxhash64(docs[text_col]).alias("r"), docs[text_col].alias("t"))
+    """``id_col, n_lines, n_dropped, kept_text`` of every row of ``docs``, in time that grows with the lines.
+
+    A row without a bitmap, one with a null id among them, keeps its lines; a null text is one empty line.
+    """
+    own = docs.select(docs[id_col].alias("k"), text_hash(docs[text_col]).alias("r"), docs[text_col].alias("t"))
     maps = bitmaps.select(F.col(id_col).alias("bk"), F.col("text_hash").alias("br"), "n_dropped", "lanes")
     both = own.join(maps, (own["k"] == maps["bk"]) & (own["r"] == maps["br"]), "left")
-    # lanes as an array by position, so that each line finds its bits at once
-    dense = F.expr("transform(sequence(0, element_at(lanes, -1).lane), l -> map_from_entries(lanes)[l])")
-    both = both.select("k", "t", F.coalesce("n_dropped", F.lit(0).cast("long")).alias("n_dropped"), F.when(F.col("n_dropped") > 0, dense).alias("dense"))
-    lines = _lines(F.col("t"))
-    stays = f"(shiftright(coalesce(get(dense, cast(i div {_LANE} as int)), {(1 << _LANE) - 1}L), cast(i % {_LANE} as int)) & 1L) = 1L"
-    kept = F.expr(f"filter(split(coalesce(t, ''), '\n'), (x, i) -> {stays})")
-    text = F.when(F.col("n_dropped") == 0, F.coalesce("t", F.lit(""))).otherwise(F.array_join(kept, "\n"))
-    return both.select(F.col("k").alias(id_col), F.size(lines).cast("long").alias("n_lines"), "n_dropped", text.alias("kept_text"))
+    full = (1 << _LANE) - 1
+    # lanes that lose nothing are filled in, so that a line's number finds its bits; as the element of an array it is made once
+    dense = f"flatten(transform(lanes, (x, i) -> concat(array_repeat({full}L, x.lane - coalesce(get(lanes, i - 1).lane, -1) - 1), array(x.bits))))"
+    stays = f"(shiftright(coalesce(get(d, cast(i div {_LANE} as int)), {full}L), cast(i % {_LANE} as int)) & 1L) = 1L"
+    kept = F.expr(f"transform(array({dense}), d -> array_join(filter(split(coalesce(t, ''), '\n'), (x, i) -> {stays}), '\n'))[0]")
+    text = F.when(F.col("n_dropped") > 0, kept).otherwise(F.coalesce("t", F.lit("")))
+    return both.select(F.col("k").alias(id_col), F.size(_lines(F.col("t"))).cast("long").alias("n_lines"), F.coalesce("n_dropped", F.lit(0).cast("long")).alias("n_dropped"), text.alias("kept_text"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:

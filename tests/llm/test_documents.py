@@ -546,3 +546,23 @@ def test_run_length_index_against_brute_force():
             assert g.tolist() == [any(w in u and p < o for u, p in zip(texts, owner, strict=True)) for w in windows]
     periodic = [b"ab" * 400, b"ab" * 300 + b"c", b"a" * 500]
     assert substring_dedup.RunLengthIndex(periodic, 50).n_runs < 100  # far fewer than the 1,900 bytes
+
+
+def test_lines_of_repeated_and_null_ids_and_of_a_long_text(spark, large_paths):
+    """A key that fills several ranges, ids on two texts, and a text of 40,000 lines, every third of which goes."""
+    _, rows = repeated(spark)
+    long = [f"a line that is long enough {i % 3 and i}" for i in range(40_000)]
+    rows = [*rows, (30, "\n".join(long)), (29, long[0]), *[(100 + i, long[0] + "\n" + LINES[0].upper()) for i in range(300)]]
+    first = {}
+    for k, t in rows:
+        for x in (t or "").split("\n") if k is not None else ():
+            key = x.strip(" \t").lower()
+            first[key] = min(first.get(key, k), k)
+    want = []
+    for k, t in rows:
+        own = (t or "").split("\n")
+        kept = [x for x in own if k is None or len(x.strip(" \t")) < 10 or first[x.strip(" \t").lower()] == k]
+        want.append((k, len(own), len(own) - len(kept), "\n".join(kept)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = [(r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_text"]) for r in line_dedup.dedup_lines(df).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
