@@ -54,7 +54,22 @@ def materialize(df: DataFrame, tag: str, row_group: int = 64 << 20) -> DataFrame
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.option("compression", "zstd").option("parquet.block.size", row_group).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables from ``materialize`` that no frame in use reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        _delete(spark, df._written_at)
+        _WRITTEN[spark.sparkContext.applicationId].remove(df._written_at)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 @contextmanager
@@ -76,11 +91,10 @@ def written(spark: SparkSession) -> int:
 
 def cleanup(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
     """Delete the intermediate tables that this session wrote after the mark ``since``, but for ``keep``."""
-    jvm, all_ = spark.sparkContext._jvm, _WRITTEN.get(spark.sparkContext.applicationId, [])
+    all_ = _WRITTEN.get(spark.sparkContext.applicationId, [])
     for path in all_[since:]:
         if path not in keep:
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(spark, path)
             all_.remove(path)
 
 
@@ -105,14 +119,14 @@ def sent_if_small(df: DataFrame, most: int | None = None) -> DataFrame:
     return F.broadcast(df) if is_small(df, most) else df
 
 
-def join_heavy(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, how: str = "inner") -> DataFrame:
+def join_heavy(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, how: str = "inner", whole: bool = True) -> DataFrame:
     """Join ``rows`` with a written table of one row a key, whose column ``size`` counts the key's rows.
 
-    A small table is sent to all executors. Of a larger one only the keys of a thousandth of all rows or
+    A small table is sent to all executors (not so without ``whole``). Of a larger one only the keys of a thousandth of all rows or
     more are, a thousand at most, so their rows stay where they are; the others are joined by shuffle.
     ``how``: inner, left, left_semi or left_anti.
     """
-    if is_small(groups):
+    if whole and is_small(groups):
         return rows.join(F.broadcast(groups), keys, how)
     least = max(HEAVY_ROWS, (groups.agg(F.sum(size)).first()[0] or 0) // 1000)
     heavy = F.broadcast(groups.where(F.col(size) >= least))

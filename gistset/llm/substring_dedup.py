@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_heavy, materialize, sent_if_small, slices, small_batches, text_hash
+from .common import discard, join_heavy, materialize, sent_if_small, slices, small_batches, text_hash
 from .near_dedup import mix
 
 GRAM = 20
@@ -205,6 +205,7 @@ def repeated_spans(docs: DataFrame, total_bytes: int, width: int = 50, hot_texts
     filter_bits = min(_FILTER_BITS, max(20, int(total_bytes >> 3).bit_length()))
     bucket_bits = min(filter_bits - 3, max(4, int(total_bytes >> 22).bit_length()))
     low_bits, shift = np.uint64((1 << filter_bits) - 1), np.uint64(filter_bits - bucket_bits)
+    slot_bits, high = np.uint64((1 << (filter_bits - bucket_bits)) - 1), np.uint64(32 + filter_bits - bucket_bits)
 
     def name_blobs(batches: Iterable[pa.RecordBatch]):
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -213,10 +214,12 @@ def repeated_spans(docs: DataFrame, total_bytes: int, width: int = 50, hot_texts
             m, k = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             part = ((m & low_bits) >> shift).astype(np.int64)
+            # within a part 32 bits tell names apart; of two that they do not, both count as found twice
+            m = ((m & slot_bits) | ((m >> high) << shift)).astype(np.uint32)
             by = np.lexsort((k, m, part))
             m, k, part = m[by], k[by], part[by]
-            first = np.concatenate([[True], m[1:] != m[:-1]])
-            last = np.concatenate([m[1:] != m[:-1], [True]])
+            turn = (m[1:] != m[:-1]) | (part[1:] != part[:-1])
+            first, last = np.concatenate([[True], turn]), np.concatenate([turn, [True]])
             on = first | last  # of one name here only its smallest and largest id matter
             m, k, part = m[on], k[on], part[on]
             cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
@@ -234,13 +237,13 @@ def repeated_spans(docs: DataFrame, total_bytes: int, width: int = 50, hot_texts
 
     def shared_names(key: tuple, blobs: pa.Table) -> pa.Table:
         """The filter bits of names that two documents or more hold."""
-        raw = [np.frombuffer(x, np.uint64).reshape(2, -1) for x in blobs.column("blob").to_pylist()]
+        raw = [(np.frombuffer(x, np.uint32, len(x) // 12), np.frombuffer(x[len(x) // 3 :], np.int64)) for x in blobs.column("blob").to_pylist()]
         m, k = np.concatenate([x[0] for x in raw]), np.concatenate([x[1] for x in raw])
         by = np.lexsort((k, m))
         m, k = m[by], k[by]
         twice = np.flatnonzero((m[1:] == m[:-1]) & (k[1:] != k[:-1]))
         bits = np.zeros(1 << (filter_bits - bucket_bits), np.uint8)
-        bits[(m[twice] & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
+        bits[(m[twice] & np.uint32(len(bits) - 1)).astype(np.int64)] = 1
         return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
     def bloom(found: list) -> bytes:
@@ -272,7 +275,8 @@ def repeated_spans(docs: DataFrame, total_bytes: int, width: int = 50, hot_texts
     distinct = materialize(texts_of, "piece-texts")
     sizes = distinct.groupBy("m").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("n") + width).alias("bytes"), F.min("first").alias("lo"), F.max("last").alias("hi")).where("lo < hi")
     sizes = materialize(sizes.select("m", "c", ((F.col("c") > hot_texts) | (F.col("bytes") > HOT_BYTES)).alias("hot"), (F.col("c") == 1).alias("single")), "names")
-    named = materialize(join_heavy(distinct, sizes, ["m"], "c").select("m", "th", "first", "places", "hot", "single"), "piece-names")
+    named = materialize(join_heavy(distinct, sizes, ["m"], "c", whole=False).select("m", "th", "first", "places", "hot", "single"), "piece-names")
+    discard(distinct, sizes)
     _collected(spark)
     # a name with one text needs no index: its first owner is the text's; of the others the texts are read again
     bit = F.col("m").bitwiseAND(F.lit((1 << filter_bits) - 1)) + 1
@@ -330,11 +334,14 @@ def repeated_spans(docs: DataFrame, total_bytes: int, width: int = 50, hot_texts
     by_window = wide.join(least, "w").where("least < first").groupBy("m", "th").agg(F.array_sort(F.collect_list(F.struct(F.col("j").cast("long").alias("a"), F.col("j").cast("long").alias("b")))).alias("runs"))
     marks = materialize(marked.where(F.size("runs") > 0).unionByName(by_window), "marks")
     firsts = materialize(named.select("m", "th", "first", "places").join(marks, ["m", "th"], "left"), "firsts")
-    found = join_heavy(cand, firsts, ["m", "th"], "places")
+    discard(with_text, named, marks)
+    _collected(spark)
+    found = join_heavy(cand, firsts, ["m", "th"], "places", whole=False)
     whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), (F.col("n") - 1).cast("long").alias("b")))
     runs = F.when(F.col("k") > F.col("first"), whole).otherwise(F.col("runs"))
     spans = found.select("k", "r", "at", F.explode(runs).alias("x")).select("k", "r", F.struct((F.col("at") + F.col("x.a")).alias("a"), (F.col("at") + F.col("x.b")).alias("b")).alias("span"))
     out = materialize(spans.groupBy("k", "r").agg(F.array_sort(F.collect_list("span")).alias("spans")), "spans")
+    discard(cand, firsts)
     _collected(spark)
     return out
 
@@ -367,7 +374,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     later = materialize(join_heavy(hashes, reps, ["x"], "c").where("k > rep").select("k", "r", F.lit(True).alias("copy")).distinct(), "later-copies")
     few = sent_if_small(later)
     total = own.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    spans = sent_if_small(repeated_spans(real.join(few, ["k", "r"], "left_anti").select("k", "r", "t"), total, width, hot_texts))
+    spans = repeated_spans(real.join(few, ["k", "r"], "left_anti").select("k", "r", "t"), total, width, hot_texts)
     marked = own.join(few, ["k", "r"], "left").join(spans, ["k", "r"], "left").select("id", "t", F.coalesce("copy", F.lit(False)).alias("copy"), "spans")
     kind = dict(docs.dtypes)[id_col]
 
