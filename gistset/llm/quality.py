@@ -40,7 +40,7 @@ def count_grams(docs: DataFrame, order: int) -> DataFrame:
     """``lang, key, c``: how often each byte ``order``-gram occurs in the texts ``t`` of each language; summed in tasks, then by key."""
 
     def run(batches: Iterable[pa.RecordBatch]):
-        for batch in slices(batches, "t", 16 << 20):
+        for batch in slices(batches, "t", 8 << 20):
             langs = np.array(batch.column(0).to_pylist(), object)
             texts = batch.column(1).to_pylist()
             for lang in set(langs.tolist()):
