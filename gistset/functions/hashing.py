@@ -93,8 +93,9 @@ def projection_mod(a: Column, b: Column | int) -> Column:
 
 
 def projection_mul_32(a: Column, b: Column) -> Column:
-    """Upper half of the product of two unsigned 32-bit numbers."""
-    return F.floor((a.cast("decimal(20,0)") * b.cast("decimal(20,0)")) / F.lit(1 << 32).cast("decimal(20,0)")).cast("long")
+    """Upper half of the product of two unsigned 32-bit numbers; halves of ``a`` keep every product below 2^48."""
+    a, b = a.cast("long"), b.cast("long")
+    return F.shiftright(F.shiftright(a, 16) * b + F.shiftright(a.bitwiseAND(F.lit(0xFFFF)) * b, 16), 16)
 
 
 def projection_mul_64(h: str, size: int) -> str:

@@ -136,5 +136,5 @@ def unique(df: DataFrame, key: str, seq: str, size: int, k: int, window: Column
     at = window if window is not None else F.lit(0)
     slim = df.select(at.alias("_w"), F.col(key).alias("_k"), F.col(seq).alias("_s"))
     firsts = bit_positions(slim, "_k", effective, k).groupBy("_w", "bit").agg(F.min("_s").alias("_s"))
-    passed = firsts.select("_s").distinct()
-    return df.join(passed, df[seq] == passed["_s"], "left_semi")
+    passed = firsts.select("_w", "_s").distinct()
+    return df.withColumn("_at", at).join(passed, F.col("_at").eqNullSafe(F.col("_w")) & (F.col(seq) == F.col("_s")), "left_semi").drop("_at")

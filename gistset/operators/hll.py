@@ -132,12 +132,17 @@ class HyperLogLog:
         return ids.join(odd.groupBy(*self.by).agg(F.count(F.lit(1)).alias("_n")), self.by, "left").select(*self.by, (F.col("_n").isNull() & F.lit(alike)).alias("equal"))
 
 
+#: Types of ``seq`` that are cut into ranges, and about how many rows of a stream a range holds.
+_RANGED, _RANGE_ROWS = ("tinyint", "smallint", "int", "bigint", "float", "double", "timestamp"), 1_000_000
+
+
 def running_count(df: DataFrame, key: str, seq: str, precision: int, mode: str = "corrected") -> DataFrame:
     """``seq, estimate`` after each row in ``seq`` order.
 
     Only rows that raise a register change the estimate: these are found register by register, then
-    summed in order, at most about 2^precision * 65 rows however long the stream is; the other rows
-    take the last one's estimate by a range of ``seq`` between changes.
+    summed in order, at most about 2^precision * 65 rows however long the stream is. The other rows
+    take the last estimate before them: ``seq`` (a number or a time; anything else is one range) is cut
+    into equal ranges, each is streamed in order, and the ranges' last estimates, a row each, are carried on.
     """
     m = 1 << precision
     own = registers(df.select(F.col(seq).alias("_s"), F.col(key).alias("_k")), "_k", precision)
@@ -148,11 +153,21 @@ def running_count(df: DataFrame, key: str, seq: str, precision: int, mode: str =
     deltas = raised.groupBy("_s").agg(F.sum(F.when(F.col("_p") == 0, 1).otherwise(0)).alias("_z"), F.sum(two(F.col("rho")) - two(F.col("_p"))).alias("_d"))
     so_far = Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, 0)
     zeros, total = F.lit(m) - F.sum("_z").over(so_far), F.lit(float(m)) + F.sum("_d").over(so_far)
-    changes = deltas.select("_s", zeros.alias("_zeros"), total.alias("_total")).select("_s", F.coalesce(F.lead("_s").over(Window.orderBy("_s")), F.lit(None)).alias("_to"), estimate(F.col("_zeros"), F.col("_total"), precision, mode).alias("_e"))
+    changes = deltas.select("_s", estimate(zeros, total, precision, mode).alias("_e"))
     rows = df.select(F.col(seq).alias(seq)).distinct()
-    changes = F.broadcast(changes) if precision <= 14 else changes  # bounded by registers and ranks
-    hit = rows.join(changes, (F.col(seq) >= F.col("_s")) & (F.col("_to").isNull() | (F.col(seq) < F.col("_to"))), "left")
-    return hit.select(seq, F.coalesce("_e", F.lit(0.0)).alias("estimate"))
+    rows = rows.join(changes, rows[seq] == changes["_s"], "left").drop("_s")
+    ranges, at = F.lit(0), F.col(seq).cast("double") if dict(df.dtypes)[seq] in _RANGED else None
+    if at is not None:
+        low, high, n = df.agg(F.min(at), F.max(at), F.count(F.lit(1))).first()
+        if n and high > low:
+            ranges = F.floor((at - low) / (high - low) * max(1, n // _RANGE_ROWS)).cast("int")
+    rows = rows.withColumn("_r", ranges)
+    streamed = Window.partitionBy("_r").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
+    filled = rows.withColumn("_e", F.last("_e", ignorenulls=True).over(streamed))
+    ends = rows.where("_e is not null").groupBy("_r").agg(F.max_by("_e", seq).alias("_last"))
+    ends = rows.select("_r").distinct().join(ends, "_r", "left")  # a row a range
+    carried = ends.select("_r", F.last("_last", ignorenulls=True).over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    return filled.join(carried, "_r").select(seq, F.coalesce("_e", "_before", F.lit(0.0)).alias("estimate"))
 
 
 def builtin_count(df: DataFrame, key: str, precision: int, by: list[str] | None = None) -> DataFrame:

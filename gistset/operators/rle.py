@@ -72,18 +72,26 @@ class RleBitmap:
         return self.size
 
     def test(self, df: DataFrame, pos: str, out: str = "found", block_bits: int = 16) -> DataFrame:
-        """Point in interval, as an equality join: runs are cut at blocks of 2^16 positions, a point meets its block's runs."""
-        block = lambda c: F.shiftright(c, block_bits)
-        r = self.runs.select(*self.by, F.col("pos").alias("_p"), (F.col("pos") + F.col("count") - 1).alias("_e"))
-        r = r.withColumn("_b", F.explode(F.sequence(block(F.col("_p")), block(F.col("_e")))))
-        probe = df.withColumn("_b", block(F.col(pos).cast("long"))).withColumn("_id", F.monotonically_increasing_id())
-        cond = (F.col(pos) >= F.col("_p")) & (F.col(pos) <= F.col("_e"))
-        r = r.select(*[F.col(c).alias(f"_{c}") for c in self.by], "_p", "_e", F.col("_b").alias("_rb"))
-        for c in self.by:
-            cond = cond & (probe[c] == F.col(f"_{c}"))
-        hit = probe.join(r, (F.col("_b") == F.col("_rb")) & cond, "left")
-        inside = F.col(pos) < self.size
-        return hit.select(*df.columns, F.coalesce(F.col("_p").isNotNull() & inside, F.lit(False)).alias(out))
+        """Point in interval, as equality joins: a point meets the runs that begin or end in its block of 2^16 positions.
+
+        Blocks that a run covers whole are a run of block numbers, met in the same way one level up, so a run
+        of any length makes two rows a level and three levels reach 2^48.
+        """
+        key = F.col(pos).cast("long")
+        runs = self.runs.select(*[F.col(c).alias(f"_{c}") for c in self.by], F.col("pos").alias("_p"), (F.col("pos") + F.col("count") - 1).alias("_e"))
+        found, hits = df, F.lit(False)
+        for level in range(-(-48 // block_bits)):
+            block = lambda c: F.shiftright(c, block_bits)
+            edges = runs.select("*", F.explode(F.array_distinct(F.array(block(F.col("_p")), block(F.col("_e"))))).alias("_rb"))
+            edges = edges.select(*[F.col(f"_{c}").alias(f"_{c}{level}") for c in self.by], F.col("_p").alias(f"_p{level}"), F.col("_e").alias(f"_e{level}"), F.col("_rb").alias(f"_b{level}"))
+            at = F.shiftright(key, block_bits * level)
+            cond = (block(at) == F.col(f"_b{level}")) & (at >= F.col(f"_p{level}")) & (at <= F.col(f"_e{level}"))
+            for c in self.by:
+                cond = cond & (F.col(c) == F.col(f"_{c}{level}"))
+            found = found.join(edges, cond, "left")
+            hits = hits | F.col(f"_p{level}").isNotNull()
+            runs = runs.withColumns({"_p": block(F.col("_p")) + 1, "_e": block(F.col("_e")) - 1}).where("_p <= _e")
+        return found.select(*df.columns, F.coalesce(hits & (F.col(pos) < self.size), F.lit(False)).alias(out))
 
     def _per_id(self, *aggs: Column) -> DataFrame:
         flat = self.runs.groupBy(*self.by).agg(*aggs) if self.by else self.runs.agg(*aggs)

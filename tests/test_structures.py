@@ -197,3 +197,48 @@ def test_universe_grows_with_the_table(spark, tmp_path):
         want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({plans._SQL[n]})").fetchall()
         assert key(tuple(r) for r in df.collect()) == key(want), n
     assert {r["event_type"]: r["count"] for r in plans._Q["bitmap_cardinality"](spark, str(tmp_path)).collect()} == {"a": 9, "b": 9}
+
+
+def test_projection_mul_32_is_exact(spark):
+    rnd = random.Random(1)
+    pairs = [(1, 2**32 - 1), (3, 1431655765), (7, 613566756), (2**32 - 1, 2**32 - 1), (0, 5), *[(rnd.randrange(2**32), rnd.randrange(2**32)) for _ in range(500)]]
+    df = spark.createDataFrame(pairs, "a long, b long")
+    got = df.select("a", "b", H.projection_mul_32(F.col("a"), F.col("b")).alias("p")).collect()
+    assert all(r["p"] == (r["a"] * r["b"]) >> 32 for r in got) and len(got) == len(pairs)
+
+
+def test_murmur3_published_vectors(spark):
+    given = {"hello": 0xCBD8A7B341BD9B025B1E906A48AE1D19, "The quick brown fox jumps over the lazy dog": 0xE34BBC7BBC071B6C7A433CA9C49A9347}
+    for r in H.murmur3_128(spark.createDataFrame([(t,) for t in given], "t string"), "t", 0).collect():
+        assert ((r["h"] % 2**64) << 64) | (r["l"] % 2**64) == given[r["t"]]
+
+
+def test_unique_in_windows_that_repeat_seq(spark):
+    rows = [("x", 1, 10), ("x", 3, 10), ("y", 1, 11), ("y", 3, 12), (None, 1, 13), (None, 2, 13)]
+    df = spark.createDataFrame(rows, "w string, seq long, key long")
+    got = bloom.unique(df, "key", "seq", 1 << 12, 4, window=F.col("w")).collect()
+    assert sorted(((r["w"], r["seq"]) for r in got), key=repr) == sorted([("x", 1), ("y", 1), ("y", 3), (None, 1)], key=repr)
+
+
+def test_rle_test_on_long_runs(spark):
+    rnd = random.Random(2)
+    runs = [(0, 70_000), (200_000, 200_000), (10**9, 10**13), (2**47, 2**48 - 5)]
+    points = [p + d for r in runs for p in r for d in (-1, 0, 1)] + [rnd.randrange(2**48) for _ in range(300)]
+    bits = RleBitmap.from_ranges(spark.createDataFrame(runs, "a long, b long"), "a", "b", 1 << 48)
+    got = bits.test(spark.createDataFrame([(p,) for p in points], "p long"), "p").collect()
+    assert len(got) == len(points) and all(r["found"] == any(a <= r["p"] <= b for a, b in runs) for r in got)
+    whole = RleBitmap.from_ranges(spark.createDataFrame([("g", 0, 2**48 - 1)], "g string, a long, b long"), "a", "b", 1 << 48, ["g"])
+    got = whole.test(spark.createDataFrame([("g", 2**40), ("h", 5)], "g string, p long"), "p").collect()
+    assert {r["g"]: r["found"] for r in got} == {"g": True, "h": False}
+
+
+def test_running_count_in_many_ranges(spark, monkeypatch):
+    rnd = random.Random(3)
+    rows = [(i * 3, rnd.randrange(400)) for i in range(900)]
+    df = spark.createDataFrame(rows, "seq long, key long").repartition(5)
+    one = {r["seq"]: r["estimate"] for r in hll.running_count(df, "key", "seq", 8).collect()}
+    monkeypatch.setattr(hll, "_RANGE_ROWS", 7)
+    assert {r["seq"]: r["estimate"] for r in hll.running_count(df, "key", "seq", 8).collect()} == one and len(one) == 900
+    at = 3 * 640
+    plain = HyperLogLog.from_iterable(df.where(F.col("seq") <= at), "key", 8).count().first()["estimate"]
+    assert abs(one[at] - plain) < 1e-6
