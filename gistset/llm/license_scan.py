@@ -8,12 +8,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import slices, words_of
+from .licence_texts import WHOLE
 
 # Phrases that always count where their words stand consecutively (fixed values).
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Openings of common licences; a label of its own each, found by covered spans.
+#: Openings and whole texts of common licences; a label of its own each, found by covered spans.
 TEMPLATES = {
+    **WHOLE,
     "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
     "apache-2.0": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at",
     "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",

@@ -566,3 +566,51 @@ def test_lines_of_repeated_and_null_ids_and_of_a_long_text(spark, large_paths):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = [(r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_text"]) for r in line_dedup.dedup_lines(df).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_whole_licences(spark):
+    """Whole texts, and texts with lines lost and words added, get their labels; a warranty clause alone gets none of them."""
+    scan = license_scan.LicenseScanner(license_scan.PHRASES, license_scan.TEMPLATES).scan
+    for name, text in license_scan.WHOLE.items():
+        found = scan("intro words here " + text + " and more")
+        assert name in found["labels"] and found["score"] == 1.0
+        words = text.split()
+        edited = scan(" ".join(w if i % 23 else w + " inserted" for i, w in enumerate(words[: len(words) * 3 // 4])))
+        assert name in edited["labels"] and edited["score"] >= 0.5
+    assert scan("the software is provided as is without warranty of any kind")["labels"] == []
+
+
+def test_orc_files_have_indexes_and_bloom_filters(spark, fixture):
+    """Files carry run-length encoding of integers, row indexes and Bloom filters on ids."""
+    from pyarrow import orc
+
+    path = common.new_path(spark, "t")
+    token_files.write_tokens(fixture[0], path, BYTE)
+    import glob
+
+    files = [orc.ORCFile(f) for f in glob.glob(path.removeprefix("file://") + "/*.orc")]
+    assert files and sum(f.nrows for f in files) == len(fixture[1])
+    assert all(f.row_index_stride == 10_000 and f.nstripes >= 1 for f in files if f.nrows)
+    assert all(f.stripe_statistics_length > 0 for f in files if f.nrows)
+
+
+def test_pipeline_equals_its_steps_by_brute_force(spark, tmp_path):
+    """Exact and near copies, contaminated and junk documents go; every other one is packed whole."""
+    import corpus_pipeline
+
+    rnd = random.Random(21)
+    make = lambda n: " ".join(rnd.choice(["river", "stone", "walks", "under", "green", "light"]) + rnd.choice("abcdef") for _ in range(n))
+    rows = [(i, make(80)) for i in range(60)]
+    rows += [(100, rows[3][1]), (101, rows[4][1] + " tail"), (102, "#!%&" * 300), (103, None), (104, ""), (5, make(90)), (106, rows[7][1].replace(" ", "  "))]
+    items = [(1, " ".join(rows[10][1].split()[5:30]))]
+    spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(50)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    gone = {100, 101, 102, 104, 106, 10}  # 104 is empty like 103
+    want = sorted((k, len(library(WORD, t)) + 1) for k, t in rows if k not in gone)
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["doc_tokens"]) for r in got) == want
+    texts = {(k, len(library(WORD, t)) + 1): t for k, t in rows}
+    for r in got:
+        ids = [*library(WORD, texts[r["doc_id"], r["doc_tokens"]]), 1][r["start"] : r["start"] + r["length"]]
+        assert bytes(r["ids"]) == b"".join(i.to_bytes(4, "little") for i in ids)
