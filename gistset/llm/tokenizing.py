@@ -19,6 +19,7 @@ import regex
 SPACE = "\t-\r \x85\xa0  -     　"
 #: A space goes with the word after it; a longer run of white space leaves it its last space.
 _KEEPING = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+_BLANK = re.compile(f"[{SPACE}]")
 _DROPPING = re.compile(f"[^{SPACE}]+")
 _ODD = re.compile("[\x1c-\x1f]")  # str.split() takes these for white space, the tokenizers do not
 
@@ -155,6 +156,10 @@ class _Memory(dict):
         return ids
 
 
+class _Loose(Exception):
+    """A space that does not stand before a word: the text is cut as a whole."""
+
+
 class ChunkEncoder:
     """Encodes texts; up to ``most`` recent chunks of at most ``longest`` signs are remembered, and as many before them."""
 
@@ -164,7 +169,9 @@ class ChunkEncoder:
         self.tokenize = self.split.tokenizer.model.tokenize
         self.spaced = self.split.pattern is _ASCII_KEEPING  # a space goes with the letters after it
         #: Ids of chunks and of their pieces alike: a piece is cut into itself, so as a chunk it has the same ids.
-        self.chunks = _Memory(self._new, most, longest)
+        self.chunks = _Memory(self._new, most if not self.spaced else most // 8, longest)
+        #: Ids of what follows a space, that space included, up to the next one.
+        self.after = _Memory(self._new_after, most, longest)
 
     def _model(self, word: str) -> bytes:
         ids = [x.id for x in self.tokenize(word)]
@@ -174,10 +181,7 @@ class ChunkEncoder:
         """The ids of a chunk that the memory lacks."""
         split = self.split
         if self.spaced and chunk[0] == " " and (word := chunk[1:]).isalpha():
-            if word.isascii():
-                return self._model(_BYTE_SIGNS[32] + word)
-            if _SETTLED.fullmatch(word):
-                return self._model(_BYTE_SIGNS[32] + split.signs(word))
+            return self.after[word]
         if split.added and split.added.search(chunk):
             ids = split.tokenizer.encode(chunk, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
@@ -188,11 +192,40 @@ class ChunkEncoder:
             return self._model(split.signs(chunk))
         return b"".join(map(self.chunks.__getitem__, pieces))
 
+    def _new_after(self, part: str) -> bytes:
+        """The ids of a space and the part of a text that follows it up to the next space."""
+        if part.isalpha():
+            if part.isascii():
+                return self._model(_BYTE_SIGNS[32] + part)
+            if _SETTLED.fullmatch(part):
+                return self._model(_BYTE_SIGNS[32] + self.split.signs(part))
+            return b"".join(map(self._model, self.split.words(" " + part)))
+        if not part or _BLANK.match(part):
+            raise _Loose
+        if (word := part[:-1]).isalpha() and part[-1] in ",." and _SETTLED.fullmatch(word):
+            return self.after[word] + self.chunks[part[-1]]
+        first, *more = self.split.plain_cut(" " + part)
+        if not more:
+            return self._new(first)
+        return self.after[first[1:]] + b"".join(map(self.chunks.__getitem__, more))
+
+    def _spaced(self, text: str) -> bytes:
+        """The ids of a text cut at its spaces, each of which goes with the word after it."""
+        first, *rest = text.split(" ")
+        return b"".join(map(self.chunks.__getitem__, self.split.plain_cut(first))) + b"".join(map(self.after.__getitem__, rest))
+
+    def _ids(self, text: str) -> bytes:
+        if self.spaced and not any(t in text for t in self.split.cutting):
+            try:
+                return self._spaced(text)
+            except _Loose:
+                pass
+        return b"".join(map(self.chunks.__getitem__, self.split.cut(text)))
+
     def encode(self, texts: list[str | None], end_id: int | None = None) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers, then ``end_id``; null is empty."""
         end = b"" if end_id is None else struct.pack("<I", end_id)
-        cut, ids_of = self.split.cut, self.chunks.__getitem__
-        return [b"".join(map(ids_of, cut(t))) + end if t else end for t in texts]
+        return [self._ids(t) + end if t else end for t in texts]
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}

@@ -62,6 +62,16 @@ def test_encoder_equals_library_on_odd_signs(path):
         assert counter.count(t) == len(w), ascii(t)
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_encoder_equals_library_on_words_and_blanks(path):
+    rnd = random.Random(5)
+    parts = [" "] * 6 + ["  ", "\n", " \n", "\n ", "\r\n", "\xa0", "\u3000", "foo", "Bar", "don't", "'ll", ",", ".", "?!", "12", "é", "naïve", "Привет", "漢字", "İ", "e\u0301", "٣", "x" * 70, "<|endof", "<|endoftext|>"]
+    texts = ["".join(rnd.choices(parts, k=rnd.randint(0, 12))) for _ in range(4000)]
+    got = tokenizing.ChunkEncoder(path, most=50, longest=8).encode(texts)
+    for t, g in zip(texts, got, strict=True):
+        assert g == b"".join(i.to_bytes(4, "little") for i in library(path, t)), ascii(t)
+
+
 def test_token_files(spark, fixture):
     df, texts = fixture
     path = common.new_path(spark, "t")
