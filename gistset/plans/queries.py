@@ -274,7 +274,26 @@ def hash_metro128_bytes(spark, sf):
     return H.metro128(keys, "raw", H.BLOOM_SEED).drop("raw")
 
 
-@query()
+def sql_murmur3(source: str, key: str, seed: int) -> str:
+    """``source`` with columns h and l of an 8-byte key, and their 64-bit fold x, all unsigned."""
+    c0, c1 = (f"{c}::UHUGEINT" for c in H.MURMUR)
+    fold = f"{H.FOLD}::UHUGEINT"
+
+    def final(out: str, of: str) -> list[tuple[str, str]]:
+        steps = [(f"{out}0_", of)]
+        for i, k in enumerate((0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)):
+            steps.append((f"{out}{i + 1}_", f"(xor({out}{i}_, {out}{i}_ // {1 << 33}::UHUGEINT) * {k}::UHUGEINT) % {_M}"))
+        return [*steps, (f"{out}_", f"xor({out}2_, {out}2_ // {1 << 33}::UHUGEINT)")]
+
+    return _sql_steps(source, [
+        ("a_", f"(CAST({key} AS UHUGEINT) * {c0}) % {_M}"), ("b_", f"xor({seed}::UHUGEINT, ({_sql_ror('a_', 33)} * {c1}) % {_M})"),
+        ("c_", f"(xor(b_, 8::UHUGEINT) + xor({seed}::UHUGEINT, 8::UHUGEINT)) % {_M}"), ("d_", f"(xor({seed}::UHUGEINT, 8::UHUGEINT) + c_) % {_M}"),
+        *final("e", "c_"), *final("f", "d_"), ("h", f"(e_ + f_) % {_M}"), ("l", f"(f_ + h) % {_M}"),
+        ("g_", f"(xor(l, h) * {fold}) % {_M}"), ("i_", f"xor(g_, g_ // {1 << 47}::UHUGEINT)"), ("j_", f"(xor(h, i_) * {fold}) % {_M}"), ("x", f"(xor(j_, j_ // {1 << 47}::UHUGEINT) * {fold}) % {_M}"),
+    ])
+
+
+@query(f"SELECT c_custkey, {_sql_signed('h')} AS h, {_sql_signed('l')} AS l, {_sql_signed('x')} AS hash FROM {sql_murmur3('(SELECT c_custkey FROM customer)', 'c_custkey', 42)}")
 def hash_murmur3(spark, sf):
     return H.murmur3_64(H.murmur3_128(table(spark, sf, "customer").select("c_custkey"), "c_custkey", 42), "c_custkey", 42)
 
@@ -296,12 +315,17 @@ def sql_registers(source: str, key: str, p: int, by: str = "") -> str:
 
 
 def sql_estimate(src: str, p: int, mode: str, by: str = "") -> str:
+    m = 1 << p
+    return sql_estimate_of_sums(f"(SELECT {by} {m} - count(*) AS z, CAST(CAST({m} - count(*) + sum(pow(2.0, -rho)) AS FLOAT) AS DOUBLE) AS s FROM {src} GROUP BY ALL)", p, mode, by)
+
+
+def sql_estimate_of_sums(src: str, p: int, mode: str, by: str = "") -> str:
+    """Estimates of rows with the number of zero registers z and the sum s of 2^-rho."""
     m = 1 << p
     raws, biases = hll.bias_table(p)
     mid = [biases[0]] + [(y + x) / 2 if mode == "corrected" else (y - x) / 2 for x, y in zip(biases, biases[1:], strict=False)] + [biases[-1]]
     arr = lambda xs: "[" + ",".join(f"{x!r}::DOUBLE" for x in xs) + "]"
-    return f"""WITH r AS {src}, s AS (SELECT {by} {m} - count(*) AS z, CAST(CAST({m} - count(*) + sum(pow(2.0, -rho)) AS FLOAT) AS DOUBLE) AS s FROM r GROUP BY ALL),
-        e AS (SELECT *, {hll.alpha(p) * m * m!r}::DOUBLE / s AS raw FROM s),
+    return f"""WITH s AS {src}, e AS (SELECT *, {hll.alpha(p) * m * m!r}::DOUBLE / s AS raw FROM s),
         b AS (SELECT *, raw - CASE WHEN raw <= {5 * m} THEN {arr(mid)}[len(list_filter({arr(raws)}, lambda x: x < raw)) + 1] ELSE 0 END AS eb FROM e),
         f AS (SELECT *, CASE WHEN z > 0 THEN {m} * ln({m}::DOUBLE / z) ELSE eb END AS el FROM b)
         SELECT {by} round(CASE WHEN el <= {hll.THRESHOLDS[p - 4]} THEN el ELSE eb END, 4) AS estimate FROM f"""
@@ -346,7 +370,16 @@ def hll_equal(spark, sf):
     return a.equal(a.add(e.where("event_id % 5 = 0"), "user_id")).withColumnRenamed("equal", "same")
 
 
-@query()
+def sql_running(source: str, key: str, seq: str, p: int) -> str:
+    """Zero registers and sum of 2^-rho after each row in ``seq`` order."""
+    rho = "CASE WHEN h = 0 THEN 65 ELSE 64 - CAST(floor(log2(CAST(h // 2048::UHUGEINT AS DOUBLE))) AS INT) - 11 END"
+    ranked = f"(SELECT {seq}, CAST(l // {1 << (64 - p)}::UHUGEINT AS INT) AS reg, {rho} AS rho FROM {sql_metro128(source, key, H.HLL_SEED)})"
+    before = f"(SELECT {seq}, rho, coalesce(max(rho) OVER (PARTITION BY reg ORDER BY {seq} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p FROM {ranked})"
+    so_far = f"OVER (ORDER BY {seq} ROWS UNBOUNDED PRECEDING)"
+    return f"(SELECT {seq}, {1 << p} - sum(CASE WHEN p = 0 THEN 1 ELSE 0 END) {so_far} AS z, CAST(CAST({1 << p} + sum(CASE WHEN rho > p THEN pow(2.0, -rho) - pow(2.0, -p) ELSE 0 END) {so_far} AS FLOAT) AS DOUBLE) AS s FROM {before})"
+
+
+@query(sql_estimate_of_sums(sql_running("(SELECT event_id, user_id FROM events)", "user_id", "event_id", 12), 12, "corrected", "event_id,"))
 def hll_running(spark, sf):
     return hll.running_count(table(spark, sf, "events"), "user_id", "event_id", 12).withColumn("estimate", F.round("estimate", 4))
 
